@@ -1,0 +1,83 @@
+"""Bucket edges of header histograms; a bucket is {lo, hi, label} or {empty} or {remainder}."""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+
+GRANULARITIES = ("hour", "day", "week", "month", "quarter", "year")
+_MS = {"hour": 3.6e6, "day": 8.64e7, "week": 6.048e8, "month": 2.63e9, "quarter": 7.89e9, "year": 3.156e10}
+MOST_CATEGORIES, MOST_DATES, SAMPLE = 50, 4096, 10_000
+
+
+def equal(lo: float, hi: float, n: int = 20) -> list[float]:
+    if lo == hi:
+        return [lo, lo + 1]
+    step = (hi - lo) / n
+    return [*(lo + i * step for i in range(n)), hi]
+
+
+def logarithmic(lo: float, hi: float, n: int = 20) -> list[float]:
+    if lo <= 0 or lo == hi:
+        return equal(lo, hi, n)
+    a, b = math.log10(lo), math.log10(hi)
+    return [lo, *(10 ** (a + (b - a) * i / n) for i in range(1, n)), hi]
+
+
+def quantiles(sample: list[float], n: int = 20) -> list[float]:
+    s, out = sorted(sample), []
+    for i in range(n + 1):
+        at = (len(s) - 1) * i / n
+        k = int(at)
+        v = s[k] + (at - k) * (s[min(k + 1, len(s) - 1)] - s[k])
+        if not out or v > out[-1]:
+            out.append(v)
+    return out if len(out) > 1 else [out[0], out[0] + 1]
+
+
+def granularity(lo: dt.datetime, hi: dt.datetime, target: int = 20) -> str:
+    span = (hi - lo).total_seconds() * 1000
+    return next((g for g in GRANULARITIES if span / _MS[g] <= 2 * target), "year")
+
+
+def floor(t: dt.datetime, g: str) -> dt.datetime:
+    if g == "hour":
+        return t.replace(minute=0, second=0, microsecond=0)
+    t = t.replace(hour=0, minute=0, second=0, microsecond=0)
+    if g == "week":
+        return t - dt.timedelta(days=t.weekday())
+    if g == "month":
+        return t.replace(day=1)
+    if g == "quarter":
+        return t.replace(day=1, month=(t.month - 1) // 3 * 3 + 1)
+    return t.replace(day=1, month=1) if g == "year" else t
+
+
+def after(t: dt.datetime, g: str) -> dt.datetime:
+    if g in ("hour", "day", "week"):
+        return t + {"hour": dt.timedelta(hours=1), "day": dt.timedelta(days=1), "week": dt.timedelta(weeks=1)}[g]
+    m = t.month - 1 + {"month": 1, "quarter": 3, "year": 12}[g]
+    return t.replace(year=t.year + m // 12, month=m % 12 + 1)
+
+
+def dates(lo: dt.datetime, hi: dt.datetime, g: str) -> list[dt.datetime]:
+    out = [floor(lo, g)]
+    while out[-1] <= hi and len(out) <= MOST_DATES:
+        out.append(after(out[-1], g))
+    return out
+
+
+def histogram_edges(n: int, lo: float, hi: float, q1: float, q3: float, most: int = 20) -> list[float]:
+    """Freedman-Diaconis over the Tukey fences; Sturges where the quartiles meet; one bin of a constant."""
+    if n == 0:
+        return []
+    if lo == hi:
+        return [lo, lo + 1]
+    iqr = q3 - q1
+    if iqr > 0:
+        lo, hi = max(lo, q1 - 1.5 * iqr), min(hi, q3 + 1.5 * iqr)
+        bins = math.ceil((hi - lo) / (2 * iqr / n ** (1 / 3))) if hi > lo else 1
+    else:
+        bins = math.ceil(math.log2(n)) + 1
+    bins = max(1, min(most, bins))
+    return [*(lo + (hi - lo) * i / bins for i in range(bins)), hi]

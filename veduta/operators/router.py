@@ -1,0 +1,267 @@
+"""Keyed sources shaped by declared joins: lookup, collect, rollup, spread, unnest.
+
+Keys match as JavaScript spells them, so 1, 1.0 and "1" join; null keys never match.  Children are read after their own
+joins; matching is on the columns a source had before them.  Joins that would close a cycle are dropped.  Source order
+(``__pos``) decides ties, and the last of several parents wins.
+"""
+
+from __future__ import annotations
+
+import warnings
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from veduta.functions.columns import js_number, js_text, kind_of, plain, text_number
+from veduta.operators.coerce import TYPES, coerced
+from veduta.sources.tables import ROW, with_row_id
+
+POS = "__pos"
+AGGREGATES = ("count", "sum", "avg", "min", "max", "distinctCount", "first", "last")
+
+
+def _spec(j: dict) -> dict:
+    """One spelling of a declaration's keys."""
+    alias = {"on": "local_key", "localKey": "local_key", "fromKey": "foreign_key", "foreignKey": "foreign_key", "parentKey": "parent_key", "orderBy": "order_by"}
+    out = {alias.get(k, k): v for k, v in j.items()}
+    out.setdefault("foreign_key", out.get("local_key"))
+    return out
+
+
+def key_text(df: DataFrame, name: str) -> Column:
+    f = df.schema[name]
+    c = F.nanvl(plain(name), F.lit(None)) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else plain(name)
+    return js_text(c, f.dataType)
+
+
+class Router:
+    def __init__(self, sources: dict[str, dict], routes: dict[str, str] | None = None):
+        self.sources, self.routes, self.updates = {}, routes or {n: n for n in sources}, 0
+        edges: dict[str, set[str]] = {n: set() for n in sources}
+
+        def reaches(a: str, b: str) -> bool:
+            return a == b or any(reaches(x, b) for x in edges[a])
+
+        for name, s in sources.items():
+            kept = []
+            for j in map(_spec, s.get("join") or []):
+                child = j.get("from")
+                if child not in sources or reaches(child, name) or not self._sound(j):
+                    continue
+                edges[name].add(child)
+                kept.append(j)
+            unknown = set(s) - {"df", "key", "join", "unnest", "fields"}
+            if unknown:
+                warnings.warn(f"sources.{name}: unknown {sorted(unknown)}", stacklevel=2)
+            self.sources[name] = {**s, "join": kept, "live": self._live(s)}
+
+    @staticmethod
+    def _sound(j: dict) -> bool:
+        if j.get("aggregate"):
+            j["aggregate"] = {o: _spec(a) for o, a in j["aggregate"].items() if a.get("fn") in AGGREGATES and (a["fn"] == "count" or a.get("field"))}
+            return bool(j["aggregate"]) and bool(j.get("foreign_key"))
+        if j.get("spread"):
+            return {"name", "value"} <= set(j["spread"]) and bool(j.get("foreign_key"))
+        return bool(j.get("as")) and bool(j.get("foreign_key")) if j.get("many") else bool(j.get("local_key"))
+
+    @staticmethod
+    def _live(s: dict) -> DataFrame:
+        df = with_row_id(s["df"]).withColumnRenamed(ROW, POS)
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        fields = {}
+        for c, spec in (s.get("fields") or {}).items():
+            kind = spec if isinstance(spec, str) else spec.get("type", "text")
+            if kind not in TYPES:
+                warnings.warn(f"fields.{c}: unknown type {kind!r}", stacklevel=2)
+            elif c in kinds:
+                fields[c] = coerced(plain(c), kinds[c], spec)
+        return df.withColumns(fields) if fields else df
+
+    def frame(self, name: str) -> DataFrame:
+        """A source's rows after its joins, with ``__pos``."""
+        s = self.sources[name]
+        df = s["live"]
+        for j in s["join"]:
+            df = self._joined(df, j, s["key"])
+        for u in s.get("unnest") or []:
+            if not u.get("keep"):
+                df = df.drop(u["path"].split(".")[0]) if "." not in u["path"] else df.withColumn(u["path"].split(".")[0], plain(u["path"].split(".")[0]).dropFields(u["path"].split(".", 1)[1]))
+        return df
+
+    def unnested(self, name: str, child: str) -> DataFrame:
+        """The rows of a list in ``name`` as a source of its own: parent key, own key, the item's fields."""
+        s = self.sources[name]
+        u = next(_spec(x) for x in s["unnest"] if x["as"] == child)
+        items = s["live"].select(key_text(s["live"], s["key"]).alias(u.get("parent_key") or s["key"]), F.col(POS).alias("__parent"), F.posexplode(F.col(u["path"])).alias("__i", "__item"))
+        kind = items.schema["__item"].dataType
+        inner = [c for c in (kind.names if isinstance(kind, T.StructType) else ())]
+        own = F.col(f"__item.{u['key']}").cast("string") if u.get("key") in inner else F.concat(F.col(u.get("parent_key") or s["key"]), F.lit(":"), F.col("__i").cast("string"))
+        shown = [F.col(f"__item.{c}").alias(c) for c in inner if c != u.get("key")] or [F.col("__item").alias("value")]
+        df = items.select(F.col(u.get("parent_key") or s["key"]), own.alias(u.get("key") or "key"), *shown, F.struct("__parent", "__i").alias(POS))
+        for j in map(_spec, u.get("join") or []):
+            if j.get("from") in self.sources and self._sound(j):
+                df = self._joined(df, j, u.get("key") or "key")
+        return df
+
+    def shaped(self, route: str) -> DataFrame:
+        """The route's rows in source order."""
+        target = self.routes[route]
+        df = self.unnested(*target.split(".", 1)) if "." in target else self.frame(target)
+        return df.orderBy(POS).drop(POS)
+
+    def row_ids(self, name: str) -> DataFrame:
+        live = self.sources[name]["live"]
+        return live.select(F.concat(F.lit(name + ":"), key_text(live, self.sources[name]["key"])).alias("row_id"))
+
+    def _joined(self, df: DataFrame, j: dict, key: str) -> DataFrame:
+        live, child = self.sources[j["from"]]["live"], self.frame(j["from"])
+        if j.get("aggregate"):
+            return self._attached(df, key, live, child, j, self._rollup(child, live, j), counts=True)
+        if j.get("spread"):
+            return self._attached(df, key, live, child, j, self._spread(child, live, j, df.columns))
+        if j.get("many"):
+            return self._attached(df, key, live, child, j, self._collected(child, live, j))
+        return self._lookup(df, live, child, j)
+
+    @staticmethod
+    def _matchable(child: DataFrame, live: DataFrame, fk: str) -> DataFrame:
+        """The child's rows with the text of its live foreign key; null keys are left out."""
+        if fk not in live.columns:
+            return child.withColumn("__k", F.lit(None).cast("string")).where("false")
+        raw = live.select(F.col(POS).alias("__p"), key_text(live, fk).alias("__k")).where("__k IS NOT NULL")
+        return child.withColumn("__k", key_text(child, fk)).where("__k IS NOT NULL") if fk in child.columns and child.schema[fk] == live.schema[fk] else child.join(raw, child[POS] == raw["__p"]).drop("__p")
+
+    def _lookup(self, df: DataFrame, live: DataFrame, child: DataFrame, j: dict) -> DataFrame:
+        fields = j.get("fields") or j.get("select") or []
+        fields = dict(fields) if isinstance(fields, dict) else {f: f for f in fields}
+        mode = j.get("missing", "passthrough")
+        rows = self._matchable(child, live, j["foreign_key"])
+        # The last live match decides; if that one is held back, there is none.
+        last = live.select(F.col(POS).alias("__p"), key_text(live, j["foreign_key"]).alias("__k")).where("__k IS NOT NULL").groupBy("__k").agg(F.max("__p").alias("__p"))
+        taken = rows.join(last.withColumnRenamed("__k", "__lk"), rows[POS] == F.col("__p"), "left_semi")
+        right = taken.select(F.col("__k").alias("__rk"), F.lit(True).alias("__hit"), *[plain(f).alias(f"__r{i}") for i, f in enumerate(fields) if f in child.columns])
+        both = df.withColumn("__lk", key_text(df, j["local_key"])).join(right, F.col("__lk") == F.col("__rk"), "inner" if mode == "hold" else "left")
+        new = {}
+        for i, (f, to) in enumerate(fields.items()):
+            if f not in child.columns:
+                continue
+            old = plain(to) if to in df.columns and mode != "null" else F.lit(None)
+            new[to] = F.when(F.col("__hit"), F.col(f"__r{i}")).otherwise(old)
+        return both.withColumns(new).select(*[plain(c) for c in df.columns if c not in new], *map(plain, new)) if new else both.select(*map(plain, df.columns))
+
+    @staticmethod
+    def _attached(df: DataFrame, key: str, live: DataFrame, child: DataFrame, j: dict, right: DataFrame, counts: bool = False) -> DataFrame:
+        """Left (or, holding, inner) join of what was made of the children, with the values of no children."""
+        mode = j.get("missing", "passthrough")
+        names = [c for c in right.columns if c != "__k"]
+        both = df.drop(*names).withColumn("__lk", key_text(df, j.get("local_key") if j.get("local_key") in df.columns else key))
+        both = both.join(right, F.col("__lk") == F.col("__k"), "inner" if mode == "hold" else "left")
+        kinds = {f.name: f.dataType for f in right.schema.fields}
+        new = {}
+        for c in names:
+            if counts and j["aggregate"][c]["fn"] in ("count", "sum"):
+                new[c] = F.coalesce(plain(c), F.lit(0).cast(kinds[c]))
+            elif isinstance(kinds[c], T.ArrayType) and not j.get("spread") and mode != "null":
+                new[c] = F.coalesce(plain(c), F.array().cast(kinds[c]))
+        return (both.withColumns(new) if new else both).drop("__k", "__lk")
+
+    def _collected(self, child: DataFrame, live: DataFrame, j: dict) -> DataFrame:
+        pick = j.get("select") or j.get("fields")
+        rows = self._matchable(child, live, j["foreign_key"])
+        shown = [c for c in child.columns if c not in (POS, "__k")]
+        if isinstance(pick, str):
+            item = plain(pick)
+        elif isinstance(pick, dict):
+            item = F.struct(*[plain(f).alias(to) for f, to in pick.items()])
+        else:
+            item = F.struct(*map(plain, pick or shown))
+        held = F.sort_array(F.collect_list(F.struct(F.col(POS).alias("p"), item.alias("v"))))
+        out = F.transform(held, lambda x: x["v"])
+        if j.get("distinct"):
+            out = F.array_distinct(out)
+        if j.get("sort"):
+            out = F.array_sort(out, lambda a, b: F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), -1).when(b.isNull(), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+        return rows.groupBy("__k").agg(out.alias(j["as"]))
+
+    def _rollup(self, child: DataFrame, live: DataFrame, j: dict) -> DataFrame:
+        rows = self._matchable(child, live, j["foreign_key"])
+        kinds = {f.name: f.dataType for f in child.schema.fields}
+        return rows.groupBy("__k").agg(*[self._reduced(a, kinds).alias(o) for o, a in j["aggregate"].items()])
+
+    @staticmethod
+    def _reduced(a: dict, kinds: dict) -> Column:
+        fn, f = a["fn"], a.get("field")
+        if fn == "count":
+            return F.count("*")
+        if f not in kinds:
+            return F.lit(0.0) if fn == "sum" else F.max(F.lit(None).cast("double"))
+        c, t = plain(f), kinds[f]
+        x = js_number(c, t)
+        finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+        if fn == "sum":
+            return F.coalesce(F.sum(finite), F.lit(0.0))
+        if fn == "avg":
+            return F.avg(finite)
+        if fn in ("min", "max"):
+            best = F.min if fn == "min" else F.max
+            if kind_of(t) != "text":
+                return best(F.when(c.isNotNull(), finite))
+            number = text_number(c.cast("string"))
+            return F.coalesce(js_text(best(number), T.DoubleType()), best(c.cast("string")))
+        if fn == "distinctCount":
+            return F.count_distinct(c) + F.max(F.when(c.isNull(), 1).otherwise(0))
+        o = plain(a.get("order_by") or f)
+        if fn == "first":
+            return F.min_by(c, F.struct(o.isNotNull(), o, F.col(POS)))
+        return F.max_by(c, F.struct(o.isNotNull(), o, -F.col(POS)))
+
+    def _spread(self, child: DataFrame, live: DataFrame, j: dict, taken: list[str]) -> DataFrame:
+        s = j["spread"]
+        rows = self._matchable(child, live, j["foreign_key"]).where(plain(s["name"]).isNotNull())
+        include = s.get("include")
+        if not include:  # the names become columns, so they have to be known
+            include = [r[0] for r in rows.select(plain(s["name"]).cast("string")).distinct().orderBy(plain(s["name"]).cast("string")).collect()]
+        names = [n for n in include if s.get("prefix", "") + n not in taken]
+        typed = s.get("type") or {}
+        kind = child.schema[s["value"]].dataType
+        wide = rows.groupBy("__k").agg(*[F.max_by(plain(s["value"]), F.when(plain(s["name"]).cast("string") == n, F.col(POS))).alias(f"__s{i}") for i, n in enumerate(names)], F.lit(1).alias("__one")).drop("__one")
+        out = []
+        for i, n in enumerate(names):
+            t = typed if isinstance(typed, str) else typed.get(n)
+            c = F.col(f"__s{i}")
+            if t == "number":
+                c = F.coalesce(js_text(coerced(c, kind, "number"), T.DoubleType()), js_text(c, kind)) if kind_of(kind) == "text" else c
+            elif t:
+                c = coerced(c, kind, t)
+            out.append(c.alias(s.get("prefix", "") + n))
+        return wide.select("__k", *out)
+
+    def update(self, name: str, df: DataFrame) -> dict[str, int]:
+        """A new snapshot of a source: how many keys were added, updated and removed."""
+        from veduta.streaming.diff import keyed_diff
+
+        s = self.sources[name]
+        if set(df.columns) != set(s["df"].columns):
+            raise ValueError("a snapshot must have the same columns")
+        counts = {r["change"]: r["n"] for r in keyed_diff(s["df"], df, s["key"]).groupBy("change").agg(F.count("*").alias("n")).collect()}
+        self.sources[name] = {**s, "df": df, "live": self._live({**s, "df": df})}
+        self.updates += 1
+        return {k: counts.get(k, 0) for k in ("added", "updated", "removed")}
+
+    def affected(self, name: str, before: DataFrame, child: str) -> DataFrame:
+        """Keys of ``name`` whose rows depend on rows of ``child`` that changed since ``before``."""
+        from veduta.streaming.diff import keyed_diff
+
+        s, c = self.sources[name], self.sources[child]
+        changed = keyed_diff(before, c["df"], c["key"]).select("key")
+        out = []
+        for j in (j for j in s["join"] if j["from"] == child):
+            for side in (before, c["df"]):
+                own = side.withColumn("__ck", key_text(side, c["key"])).join(changed, F.col("__ck") == F.col("key"), "left_semi")
+                fk = own.select(key_text(own, j["foreign_key"]).alias("__fk")).distinct()
+                local = j.get("local_key") if j.get("local_key") in s["live"].columns else s["key"]
+                live = s["live"].select(key_text(s["live"], s["key"]).alias("key"), key_text(s["live"], local).alias("__lk"))
+                out.append(live.join(fk, F.col("__lk") == F.col("__fk"), "left_semi").select("key"))
+        return reduce(DataFrame.unionByName, out).distinct()
