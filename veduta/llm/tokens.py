@@ -1,8 +1,9 @@
 """Token counts from distinct pre-tokens.
 
 A task splits its texts into pre-tokens and counts them for each document.  A pre-token that few of the task's
-documents hold leaves it as one row with the documents' places and frequencies (an inverted list); rows of one
-pre-token meet, its pieces are counted once, and count times frequency is summed for each document.  A pre-token
+documents hold leaves it once, with the documents' places and frequencies (an inverted list); lists of one pre-token meet by a
+hash, its pieces are counted once, and count times frequency is summed for each document.  Lists travel packed, those
+of one hash bucket in a row, as millions of small rows would cost more than all the counting.  A pre-token
 that many of the task's documents hold (over 1 in ``common``, and ``few``) is counted in the task, once for all of
 them, and never shuffled: otherwise the rows of the commonest words would meet in one task.  No ids are made; the
 tokenizer is asked only for the number of pieces of each distinct pre-token.
@@ -24,25 +25,22 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 _HELD = 4_000_000  # partial sums that a reducing task holds before it passes them on
 
 
-def _lists(arrays: list, kind: pa.DataType) -> pa.ListArray:
-    import numpy as np
-
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, kind.to_pandas_dtype())
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat, kind))
-
-
-def token_counts(docs: DataFrame, path: str | None = None, fast: str | None = None, limit: int = LIMIT, common: int = COMMON, few: int = FEW) -> DataFrame:
+def token_counts(docs: DataFrame, path: str | None = None, fast: str | None = None, limit: int = LIMIT, common: int = COMMON, few: int = FEW, bucket_chars: int = 8_000_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
     import public_tokenizers
 
     if path is None:
         path, fast = public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # key '' (no pre-token is empty) marks the row that lists a chunk's documents
-    middle = f"key string, chunk long, at array<int>, n array<int>, ids array<{kind}>, n_bytes array<long>, n_tokens array<long>"
+    n_chars = docs.select(F.sum(F.length("text"))).first()[0] or 0
+    buckets = 8 + n_chars // bucket_chars
+    # A row is a chunk's pre-tokens of one bucket, packed; bucket -1 lists a chunk's documents, -2 holds partial sums.
+    names = ["bucket", "chunk", "keys", "lengths", "holders", "at", "n", "ids", "n_bytes", "n_tokens"]
+    middle = f"bucket int, chunk long, keys binary, lengths binary, holders binary, at binary, n binary, ids array<{kind}>, n_bytes array<long>, n_tokens array<long>"
 
     def split(batches):
         import itertools
+        import zlib
         from collections import defaultdict
 
         import numpy as np
@@ -75,68 +73,78 @@ def token_counts(docs: DataFrame, path: str | None = None, fast: str | None = No
                 pieces = np.zeros(len(distinct), np.int64)
                 pieces[near] = splitter.counts([distinct[i] for i in near])
                 local += np.bincount(row, weights=n * pieces[code], minlength=len(sizes)).astype(np.int64)
+                starts = np.cumsum(holders) - holders
                 far = np.flatnonzero(holders <= bound)
-                kept = holders[code] <= bound
-                at, n, offsets = row[kept].astype(np.int32), n[kept].astype(np.int32), np.concatenate([[0], np.cumsum(holders[far])])
-                for i in range(0, len(far), 50_000):
-                    own = offsets[i : i + 50_001]
-                    x, y, own = own[0], own[-1], pa.array(own - own[0], pa.int32())
-                    m = len(own) - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([distinct[k] for k in far[i : i + m]], pa.string()), pa.array(np.full(m, chunk)), pa.ListArray.from_arrays(own, pa.array(at[x:y])), pa.ListArray.from_arrays(own, pa.array(n[x:y])),
-                         pa.nulls(m, pa.list_(id_type)), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))], names)
+                keys = [distinct[i].encode() for i in far]
+                to = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) % buckets
+                order = np.argsort(to, kind="stable")
+                edges = np.searchsorted(to[order], np.arange(buckets + 1))
+                narrow = "<u2" if len(sizes) < 65536 else "<u4"
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    own = order[edges[k] : edges[k + 1]]
+                    held = holders[far[own]]
+                    place = np.repeat(starts[far[own]] - np.cumsum(held) + held, held) + np.arange(held.sum())
+                    some = [keys[i] for i in own]
+                    blobs = (b"".join(some), np.array([len(x) for x in some], "<u4").tobytes(), held.astype("<u4").tobytes(), row[place].astype(narrow).tobytes(), n[place].astype("<u4").tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), *[pa.array([x], pa.binary()) for x in blobs], *nothing(id_type)], names)
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([""]), pa.array([chunk], pa.int64()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())),
-                 one(b.column(0)), one(pa.array(sizes, pa.int64())), one(pa.array(local))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([chunk], pa.int64()), *[pa.nulls(1, pa.binary())] * 5, one(b.column(0)), one(pa.array(sizes, pa.int64())), one(pa.array(local))], names)
 
-    names = ["key", "chunk", "at", "n", "ids", "n_bytes", "n_tokens"]
+    def nothing(id_type):
+        return pa.nulls(1, pa.list_(id_type)), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))
 
     def count(batches):
         import numpy as np
 
-        splitter, last, pieces = Splitter(path, fast), None, 0
+        splitter, now, id_type = Splitter(path, fast), None, None
+        held: list[tuple] = []
         sums: dict[int, np.ndarray] = {}
-        held = 0
+        size = 0
+
+        def summed():
+            """The rows of one bucket: its distinct pre-tokens are counted once."""
+            number: dict[bytes, int] = {}
+            coded = []
+            for _, keys, lengths, *_ in held:
+                ends = np.cumsum(lengths)
+                own = [keys[x:y] for x, y in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+                coded.append(np.fromiter((number.setdefault(x, len(number)) for x in own), np.int64, len(own)))
+            pieces = np.array(splitter.counts([x.decode() for x in number]), np.int64)
+            more = 0
+            for (c, _, _, holders, at, n), codes in zip(held, coded, strict=True):
+                got = np.bincount(at, weights=n * np.repeat(pieces[codes], holders)).astype(np.int64)
+                old = sums.get(c)
+                if old is None or len(old) < len(got):
+                    more += len(got) - (0 if old is None else len(old))
+                    sums[c] = got if old is None else np.concatenate([old, np.zeros(len(got) - len(old), np.int64)]) + got
+                else:
+                    old[: len(got)] += got
+            return more
 
         def passed_on():
             for c, v in sums.items():
                 at = np.flatnonzero(v)
-                yield pa.RecordBatch.from_arrays([pa.array(["-"]), pa.array([c], pa.int64()), _lists([at], pa.int32()), _lists([v[at]], pa.int32()), pa.nulls(1, lists), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int32()), pa.array([c], pa.int64()), *[pa.nulls(1, pa.binary())] * 3, pa.array([at.astype("<u4").tobytes()]), pa.array([v[at].astype("<i8").tobytes()]), *nothing(id_type)], names)
 
         for b in batches:
-            lists = b.column(4).type
-            keys = b.column(0).to_pylist()
-            if any(k == "" for k in keys):
-                heads = pa.array([k == "" for k in keys])
-                yield b.filter(heads)
-                b = b.filter(pa.compute.invert(heads))
-                keys = b.column(0).to_pylist()
-            if not keys:
-                continue
-            fresh = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else last)]
-            counts = splitter.counts([keys[i] for i in fresh])
-            runs = np.diff([*fresh, len(keys)])
-            each = np.concatenate([np.full(len(keys) - int(runs.sum()), pieces), np.repeat(np.array(counts, np.int64), runs)]).astype(np.int64)
-            last, pieces = keys[-1], int(each[-1])
-            at, n = b.column(2), b.column(3)
-            sizes = np.diff(at.offsets.to_numpy())
-            rows, got = at.flatten().to_numpy(), n.flatten().to_numpy().astype(np.int64) * np.repeat(each, sizes)
-            chunks = np.repeat(b.column(1).to_numpy(), sizes)
-            order = np.argsort(chunks, kind="stable")
-            chunks, rows, got = chunks[order], rows[order], got[order]
-            edges = [*np.flatnonzero(np.diff(chunks, prepend=chunks[0] - 1 if len(chunks) else 0)), len(chunks)]
-            for x, y in zip(edges, edges[1:], strict=False):
-                c, more = int(chunks[x]), np.bincount(rows[x:y], weights=got[x:y]).astype(np.int64)
-                old = sums.get(c)
-                if old is None or len(old) < len(more):
-                    held += len(more) - (0 if old is None else len(old))
-                    sums[c] = more if old is None else np.concatenate([old, np.zeros(len(more) - len(old), np.int64)]) + more
-                else:
-                    old[: len(more)] += more
-            if held > _HELD:
-                yield from passed_on()
-                sums, held = {}, 0
+            id_type = b.column(7).type.value_type
+            for i, k in enumerate(b.column(0).to_pylist()):
+                if k < 0:
+                    yield b.slice(i, 1)
+                    continue
+                if k != now and held:
+                    size += summed()
+                    held = []
+                    if size > _HELD:
+                        yield from passed_on()
+                        sums, size = {}, 0
+                now = k
+                blob = lambda j, kind: np.frombuffer(b.column(j)[i].as_buffer(), kind)  # noqa: B023, E731
+                n = blob(6, "<u4")
+                at = blob(5, "<u2" if len(b.column(5)[i].as_buffer()) == 2 * len(n) else "<u4")
+                held.append((b.column(1)[i].as_py(), b.column(2)[i].as_py(), blob(3, "<u4").astype(np.int64), blob(4, "<u4"), at, n))
+        if held:
+            summed()
         yield from passed_on()
 
     def total(batches):
@@ -151,22 +159,22 @@ def token_counts(docs: DataFrame, path: str | None = None, fast: str | None = No
             return pa.RecordBatch.from_arrays([whole[0], pa.array(whole[1]), pa.array(out), pa.array(out > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
         for b in batches:
-            for i, (c, head) in enumerate(zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)):
+            for i, (c, bucket) in enumerate(zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)):
                 if c != now and now is not None:
                     yield done()
                     whole, extra = None, []
                 now = c
-                if head == "":
-                    whole = (b.column(4)[i].values, b.column(5)[i].values.to_numpy(), b.column(6)[i].values.to_numpy())
+                if bucket == -1:
+                    whole = (b.column(7)[i].values, b.column(8)[i].values.to_numpy(), b.column(9)[i].values.to_numpy())
                 else:
-                    extra.append((b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy()))
+                    extra.append((np.frombuffer(b.column(5)[i].as_buffer(), "<u4"), np.frombuffer(b.column(6)[i].as_buffer(), "<i8")))
         if now is not None:
             yield done()
 
     lists = docs.select("doc_id", "text").mapInArrow(split, middle)
-    spread = lists.repartition("key", F.when(F.col("key") == "", F.col("chunk"))).sortWithinPartitions("key")
+    spread = lists.repartition("bucket", F.when(F.col("bucket") < 0, F.col("chunk"))).sortWithinPartitions("bucket")
     sums = spread.mapInArrow(count, middle)
-    back = sums.repartition("chunk").sortWithinPartitions("chunk", "key")
+    back = sums.repartition("chunk").sortWithinPartitions("chunk")
     return back.mapInArrow(total, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
