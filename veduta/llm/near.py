@@ -13,7 +13,9 @@ are not aligned at all.  Documents of 0.8 or more are linked; a class is a conne
 
 Documents with equal words are one text.  Texts are compared in rounds: each with the centre with which it shares
 most sketches; then one pair for each two classes that still share a bucket, several times, about other centres; then
-every pair of a bucket that still lies in two classes and was not compared.  Pairs within a class are never needed, so
+every pair of a bucket that still lies in two classes, was not compared and may be similar by the two texts' outlines:
+the sum over 128 hash places of the smaller number of k-mers is at least the number of common ones, which rules out
+texts that merely share a common passage without moving them.  Pairs within a class are never needed, so
 a bucket of thousands of near copies costs a few comparisons each and no link between classes is lost.  Components
 are found by joins, pointers halving each time.
 
@@ -123,6 +125,15 @@ def aligned(a, b, least: float = LEAST) -> float:
     return n / (total - n)
 
 
+def _outlined(batches):
+    """How many of a text's labels fall into each of 128 places."""
+    import numpy as np
+
+    for b in batches:
+        own = [np.bincount((np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(57)).astype(np.int64), minlength=128).astype(np.int32) for x in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], ["rep", "outline"])
+
+
 def _sketched(docs: DataFrame, k: int, ell: int, tables: int) -> DataFrame:
     """doc_id, text_hash, n_words, digest, n, keys of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -230,9 +241,14 @@ def near_groups(docs: DataFrame, k: int = K, ell: int = ELL, tables: int = TABLE
     own = members.select("key", F.col("rep").alias("a"), F.col("n").alias("na"))
     labelled_members = own.join(classes.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").withColumn("la", F.coalesce("la", "a"))
     mixed = labelled_members.groupBy("key").agg(F.min("la").alias("lo"), F.max("la").alias("hi")).where("lo <> hi").select("key")
-    left = cut(labelled_members.join(mixed, "key"))
-    right = left.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("la").alias("lb"))
-    rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    open_ = cut(labelled_members.join(mixed, "key"))
+    outlines = cut(labels.join(open_.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").mapInArrow(_outlined, "rep long, outline array<int>"))
+    left = open_.join(outlines.select(F.col("rep").alias("a"), F.col("outline").alias("oa")), "a")
+    right = left.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("la").alias("lb"), F.col("oa").alias("ob"))
+    common = F.aggregate(F.zip_with("oa", "ob", F.least), F.lit(0), lambda x, y: x + y)  # at least the common k-mers
+    could = common * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-6
+    apart = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb")) & could
+    rest = left.join(right, "key").where(apart).select("a", "b").distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = links.unionByName(_verified(rest.join(done, ["a", "b"], "left_anti"), labels, least))
     classes = components(links)
