@@ -183,25 +183,25 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, epochs: int =
     return Model(langs, w.astype(np.float32), b, idf, heat, bits)
 
 
-def classified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score, which replace columns of these names."""
+def classified(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of ``docs`` with the predicted language and its score, which replace columns of these names."""
 
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(*names)
     place = rows.columns.index("text")
 
     def run(batches):
         for b in batches:
             got = [model.predict(x.as_py()) for x in b.column(place)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], [*b.schema.names, *names])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def language_filter(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is told: not ``und`` and with at least that score."""
-    told = classified(docs.select("*"), train(docs))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    told = classified(docs, train(docs), ("__lang_pred", "__lang_score"))
+    return told.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= least)).select(*docs.columns)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

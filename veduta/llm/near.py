@@ -245,7 +245,7 @@ def near_groups(docs: DataFrame, k: int = K, ell: int = ELL, tables: int = TABLE
     outlines = cut(labels.join(open_.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").mapInArrow(_outlined, "rep long, outline array<int>"))
     left = open_.join(outlines.select(F.col("rep").alias("a"), F.col("outline").alias("oa")), "a")
     right = left.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("la").alias("lb"), F.col("oa").alias("ob"))
-    common = F.aggregate(F.zip_with("oa", "ob", F.least), F.lit(0), lambda x, y: x + y)  # at least the common k-mers
+    common = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)  # at least the common k-mers
     could = common * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-6
     apart = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb")) & could
     rest = left.join(right, "key").where(apart).select("a", "b").distinct()
