@@ -24,6 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
     done = df.checkpoint(eager=True)._jdf
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if done.rdd().getNumPartitions() > most:  # unions add up and split joins add more, round by round
+        done = done.coalesce(most)
     # A checkpointed plan still carries the constraints of the plan before it, which double in every round of an
     # iteration until planning never ends; the same rows under a plan of their own carry none.
     spark = df.sparkSession

@@ -35,30 +35,32 @@ from veduta.llm.common import cut, keep_rows, table
 K, ELL, TABLES, LEAST, ROUNDS = 5, 4, 24, 0.8, 3
 
 
+class WordHashes(dict):
+    """Word -> 64-bit hash, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Kmers:
     """text -> (number of words, digest of the words, labels of its k-mers in text order)."""
 
     def __init__(self, k: int = K):
         import re
 
-        self.k, self.words, self.known = k, re.compile(r"\w+").findall, {}
-
-    def _hash(self, word: str) -> int:
-        import xxhash
-
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        h = self.known.get(word)
-        if h is None:
-            h = self.known[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        self.k, self.words, self.hashes = k, re.compile(r"\w+").findall, WordHashes()
 
     def __call__(self, text: str | None):
         import numpy as np
         import xxhash
 
         words = self.words((text or "").lower())
-        a = np.fromiter(map(self._hash, words), np.uint64, len(words))
+        a = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
         digest = xxhash.xxh3_128_digest(a.tobytes())
         if not words:
             return 0, digest, a
