@@ -510,18 +510,24 @@ def _router():
         out = conversation(spark, d, {"name": "role", "value": "turn", "prefix": "last_", "include": ["user", "system"], "type": {"user": "number"}})
         return out.select("conv_id", F.col("last_user").cast("double").alias("last_user"), "last_system")
 
-    def nested(spark, d):
-        df = read(spark, d, "lineitem").where("l_orderkey < 50")
+    def nested(df):
         acc = df.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_extendedprice", "l_partkey", "l_quantity"))).alias("items"))
-        return Router({"acc": {"df": acc.coalesce(1), "key": "l_orderkey", "unnest": [{"path": "items", "as": "item", "parentKey": "order_id"}]}}, {"items": "acc.item", "acc": "acc"})
+        return Router({"acc": {"df": acc.withColumn(ROW, F.col("l_orderkey")), "key": "l_orderkey", "unnest": [{"path": "items", "as": "item", "parentKey": "order_id"}]}}, {"items": "acc.item", "acc": "acc"})
 
-    @register("unnest", "SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_orderkey || ':' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_quantity) - 1) AS key, l_partkey, l_quantity FROM lineitem WHERE l_orderkey < 50")
-    def unnest(spark, d):
-        return nested(spark, d).shaped("items").select("order_id", "key", "l_partkey", "l_quantity")
+    # Over the first orders, and over every order.
+    for suffix, where in (("", " WHERE l_orderkey < 50"), ("_all", "")):
 
-    @register("unnest_parent", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey < 50")
-    def unnest_parent(spark, d):
-        return nested(spark, d).shaped("acc")
+        def some(spark, d, where=where):
+            df = read(spark, d, "lineitem")
+            return nested(df.where(where.removeprefix(" WHERE ")) if where else df)
+
+        @register(f"unnest{suffix}", f"SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_orderkey || ':' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_quantity) - 1) AS key, l_partkey, l_quantity FROM lineitem{where}")
+        def unnest(spark, d, some=some):
+            return some(spark, d).shaped("items").select("order_id", "key", "l_partkey", "l_quantity")
+
+        @register(f"unnest_parent{suffix}", f"SELECT DISTINCT l_orderkey FROM lineitem{where}")
+        def unnest_parent(spark, d, some=some):
+            return some(spark, d).shaped("acc")
 
     def coercion(name, make, spec, sql, table="orders", key="o_orderkey"):
         @register(name, f"SELECT {key}, {sql} AS v FROM {table}")
