@@ -6,10 +6,10 @@ of each table and then perturbed ones, a step up or down in some coordinates, in
 sum of squared distances to the edges crossed, of which the expected order over sorted edges is computed once.
 Candidates of all tables are reranked by exact cosine in double precision.
 
-Buckets are dealt to groups of some ``GROUP`` rows; a bucket with more rows is split by vec_id over several groups, so
+Buckets are dealt to groups of some ``GROUP`` rows; a bucket with more rows is split by row over several groups, so
 a vector that a third of all rows resemble is no single task.  A query goes once to each group that holds a bucket of
-its probes, and leaves with its nearest five there.  Equal vectors are one index row each in every table; nothing is
-dropped: the index holds every row.
+its probes, and leaves with its nearest five vec_ids there.  Rows equal in vec_id and vector are one index row in every
+table; equal vectors of other vec_ids are index rows of their own, and so are the vectors of one vec_id.
 
 Vectors null, empty, zero or holding null or non-finite components take no part, nor rows with a null vec_id or of
 another dimension than the commonest (the smaller of equally common ones).  Ties go to the smaller vec_id.  Equal
@@ -101,7 +101,9 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
     if common is None:
         return vectors.sparkSession.createDataFrame([], schema)
     size = common["n"]
-    rows = rows.where(F.size("v") == size)
+    # Rows equal in vec_id and vector are one index row; those of one vec_id but other vectors have numbers of their own.
+    rows = rows.where(F.size("v") == size).distinct()
+    rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
     how = (size, tables, hashes, width, probes)
     lists = lambda x: x.flatten().to_numpy().reshape(-1, size)
 
@@ -112,17 +114,17 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
     def index(batches):
         h = Hashing(*how)
         for b in batches:
-            keys = h.keys(np.floor(h.places(unit(lists(b.column(1))))))
+            keys = h.keys(np.floor(h.places(unit(lists(b.column(2))))))
             n = len(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(b.column(0).to_numpy(), tables)), pa.array(np.repeat(np.arange(tables, dtype=np.int32), n)), pa.array(keys.T.ravel())], ["vec_id", "t", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(b.column(0).to_numpy(), tables)), pa.array(np.repeat(np.arange(tables, dtype=np.int32), n)), pa.array(keys.T.ravel())], ["row", "t", "key"])
 
     def probe(batches):
         h = Hashing(*how)
         masks = h.template()
         each = np.repeat(np.arange(tables, dtype=np.int32), len(masks))
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), unit(lists(b.column(1))), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), i)), pa.array(each), pa.array(h.probed(x, masks).ravel())], ["query_id", "t", "key"])
+            for i, x in zip(b.column(0).to_pylist(), unit(lists(b.column(2))), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), i)), pa.array(each), pa.array(h.probed(x, masks).ravel())], ["row", "t", "key"])
 
     def rank(batches):
         # a group's index rows (query_id null) come first; queries pass by in batches
@@ -146,9 +148,9 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
                     continue
                 if ready is None:
                     key, row = np.concatenate(keys), np.concatenate(of)
-                    order = np.argsort(key, kind="stable")
+                    by_key = np.argsort(key, kind="stable")
                     all_ids, all_own = np.concatenate(ids), np.concatenate(own)
-                    ready = key[order], row[order], all_ids, all_own, np.linalg.norm(all_own, axis=1)
+                    ready = key[by_key], row[by_key], all_ids, all_own, np.linalg.norm(all_own, axis=1)
                 key, row, all_ids, all_own, lengths = ready
                 out: list[list] = [[], [], []]
                 for q, v, k in zip(asked.column("query_id").to_pylist(), lists(asked.column("v")), asked.column("keys"), strict=True):
@@ -159,26 +161,28 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
                     if not len(hit):
                         continue
                     score = (all_own[hit] * v).sum(axis=1) / (lengths[hit] * np.linalg.norm(v))
-                    best = np.lexsort((all_ids[hit], -score))[: 2 * top]
+                    order = np.lexsort((all_ids[hit], -score))
+                    first = np.unique(all_ids[hit][order], return_index=True)[1]  # of each vec_id the best
+                    best = order[np.sort(first)[:top]]
                     for to, z in zip(out, ([q] * len(best), all_ids[hit][best].tolist(), score[best].tolist()), strict=True):
                         to.extend(z)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    placed = cut(rows.mapInArrow(lambda bs: index(bs), "vec_id long, t int, key long"))
+    placed = cut(rows.mapInArrow(lambda bs: index(bs), "row long, t int, key long"))
     buckets = placed.groupBy("t", "key").agg(F.count("*").alias("size"))
     parts = F.ceil(F.col("size") / group).cast("int")
     n_groups = F.lit(1 + placed.count() // group)
     to_group = F.pmod(F.xxhash64("t", "key", "salt"), n_groups).alias("g")
     buckets = cut(buckets.select("t", "key", parts.alias("parts")))
-    held = placed.join(buckets, ["t", "key"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("vec_id", "key", to_group)
-    stored = held.groupBy("vec_id", "g").agg(F.collect_list("key").alias("keys")).join(rows, "vec_id").select("g", F.lit(None).cast("long").alias("query_id"), "vec_id", "v", "keys")
+    held = placed.join(buckets, ["t", "key"]).withColumn("salt", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).select("row", "key", to_group)
+    stored = held.groupBy("row", "g").agg(F.collect_list("key").alias("keys")).join(rows, "row").select("g", F.lit(None).cast("long").alias("query_id"), "vec_id", "v", "keys")
     queries = rows.where(F.col("vec_id") % every == 0)
-    asked = queries.mapInArrow(lambda bs: probe(bs), "query_id long, t int, key long").join(buckets, ["t", "key"])
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("query_id", "key", to_group)
-    asked = asked.groupBy("query_id", "g").agg(F.collect_set("key").alias("keys")).join(queries.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
+    asked = queries.mapInArrow(lambda bs: probe(bs), "row long, t int, key long").join(buckets, ["t", "key"])
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("row", "key", to_group)
+    asked = asked.groupBy("row", "g").agg(F.collect_set("key").alias("keys")).join(queries.select("row", F.col("vec_id").alias("query_id"), "v"), "row")
     both = stored.unionByName(asked.select("g", "query_id", F.lit(None).cast("long").alias("vec_id"), "v", "keys"))
     found = both.repartition("g").sortWithinPartitions("g", F.asc_nulls_first("query_id")).mapInArrow(lambda bs: rank(bs), "query_id long, vec_id long, score double")
-    # The two tables' groups may both find a row: its best score, which is the same but for repeated vec_ids.
+    # Several groups may find a vec_id: its best score, which differs only between vec_ids of several vectors.
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     near = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
