@@ -62,3 +62,18 @@ def test_neighbours_vec_id_of_many_vectors(spark):
     rows = [(i, v) for i, v in enumerate(near_vectors(8))]
     rows += [(1, rows[0][1] + 0.01 * rng.normal(size=8)) for _ in range(300)] + [(0, rows[0][1] + 0.01 * rng.normal(size=8)) for _ in range(20)]
     assert found(neighbours.neighbours(embeddings(spark, rows), group=32)) == nearest(rows)
+
+
+def test_neighbours_of_few_vectors(spark):
+    rng = np.random.default_rng(6)
+    for n in (4, 6):
+        rows = list(enumerate(rng.normal(size=(n, 64))))
+        assert found(neighbours.neighbours(embeddings(spark, rows))) == nearest(rows)
+    rows = [(0, [-1.0, 0.0])] + [(i, [1.0, 0.001 * i]) for i in range(1, 60)]
+    assert found(neighbours.neighbours(embeddings(spark, rows))) == nearest(rows)
+
+
+def test_neighbours_recall_by_dimension(spark):
+    rows = list(enumerate(np.random.default_rng(7).normal(size=(2000, 256))))
+    got, want = found(neighbours.neighbours(embeddings(spark, rows))), nearest(rows)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)

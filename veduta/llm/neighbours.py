@@ -6,6 +6,11 @@ of each table and then perturbed ones, a step up or down in some coordinates, in
 sum of squared distances to the edges crossed, of which the expected order over sorted edges is computed once.
 Candidates of all tables are reranked by exact cosine in double precision.
 
+How many buckets are visited is found by trial: the true neighbours of ``SAMPLE`` queries are searched exactly, and of
+1, 2, 4 and 8 times ``PROBES`` the least that would find ``RECALL`` of them is taken.  If none does, as among vectors of
+many dimensions none of which are near, every query is searched exactly, in blocks.  So is each query for which
+the probes found less than five vec_ids, or than all if there are fewer.
+
 Buckets are dealt to groups of some ``GROUP`` rows; a bucket with more rows is split by row over several groups, so
 a vector that a third of all rows resemble is no single task.  A query goes once to each group that holds a bucket of
 its probes, and leaves with its nearest five vec_ids there.  Rows equal in vec_id and vector are one index row in every
@@ -26,6 +31,8 @@ from pyspark.sql import functions as F
 from veduta.llm.common import cut, table
 
 TABLES, HASHES, WIDTH, PROBES, TOP, GROUP = 6, 10, 2.0, 1000, 5, 4096
+#: Least recall over SAMPLE queries; most times PROBES that are probed for it; components in a block of exact search.
+RECALL, SAMPLE, MORE, BLOCK = 0.95, 64, 8, 1_000_000
 
 
 class Hashing:
@@ -104,7 +111,6 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
     # Rows equal in vec_id and vector are one index row; those of one vec_id but other vectors have numbers of their own.
     rows = rows.where(F.size("v") == size).distinct()
     rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"))
-    how = (size, tables, hashes, width, probes)
     lists = lambda x: x.flatten().to_numpy().reshape(-1, size)
 
     def unit(x):
@@ -112,7 +118,7 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def index(batches):
-        h = Hashing(*how)
+        h = Hashing(size, tables, hashes, width)
         for b in batches:
             keys = h.keys(np.floor(h.places(unit(lists(b.column(2))))))
             n = len(b)
@@ -126,6 +132,25 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
             for i, x in zip(b.column(0).to_pylist(), unit(lists(b.column(2))), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), i)), pa.array(each), pa.array(h.probed(x, masks).ravel())], ["row", "t", "key"])
 
+    def probed(each_keys, key, row):
+        # the rows of each query's buckets
+        for k in each_keys:
+            k = k.values.to_numpy()
+            lo, hi = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
+            yield np.unique(np.concatenate([row[p:r] for p, r in zip(lo, hi, strict=True)])) if len(k) else row[:0]
+
+    def likely(q_ids, q_own, ids, own, place):
+        # all rows that may be a query's best, by rounded scores; ids are sorted
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        own = unit(own)
+        for at in range(0, len(q_ids), 64):
+            scores = own @ unit(q_own[at : at + 64]).T
+            best = np.maximum.reduceat(scores, starts, axis=0)
+            for j, q in enumerate(q_ids[at : at + 64]):
+                others = best[ids[starts] != q, j]
+                least = np.partition(others, -top)[-top] if len(others) > top else -2
+                yield place[scores[:, j] >= least - 1e-9]
+
     def rank(batches):
         # a group's index rows (query_id null) come first; queries pass by in batches
         now, ids, keys, own, of = None, [], [], [], []
@@ -146,17 +171,17 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
                 asked = part.filter(query.slice(x, y - x).is_valid())
                 if not len(asked) or not ids:
                     continue
+                whole = asked.column("keys").null_count > 0  # exact search: every row of the group is a candidate
                 if ready is None:
                     key, row = np.concatenate(keys), np.concatenate(of)
                     by_key = np.argsort(key, kind="stable")
                     all_ids, all_own = np.concatenate(ids), np.concatenate(own)
-                    ready = key[by_key], row[by_key], all_ids, all_own, np.linalg.norm(all_own, axis=1)
-                key, row, all_ids, all_own, lengths = ready
+                    ready = key[by_key], row[by_key], all_ids, all_own, np.linalg.norm(all_own, axis=1), np.argsort(all_ids, kind="stable")
+                key, row, all_ids, all_own, lengths, by_id = ready
                 out: list[list] = [[], [], []]
-                for q, v, k in zip(asked.column("query_id").to_pylist(), lists(asked.column("v")), asked.column("keys"), strict=True):
-                    k = k.values.to_numpy()
-                    lo, hi = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
-                    hit = np.unique(np.concatenate([row[p:r] for p, r in zip(lo, hi, strict=True)])) if len(k) else row[:0]
+                q_ids, q_own = asked.column("query_id").to_pylist(), lists(asked.column("v"))
+                hits = likely(q_ids, q_own, all_ids[by_id], all_own[by_id], by_id) if whole else probed(asked.column("keys"), key, row)
+                for q, v, hit in zip(q_ids, q_own, hits, strict=True):
                     hit = hit[all_ids[hit] != q]
                     if not len(hit):
                         continue
@@ -168,6 +193,49 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
                         to.extend(z)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
+    def ranked(stored, asked):
+        # the nearest of each group; index rows have no query_id, queries no vec_id
+        both = stored.select("g", F.lit(None).cast("long").alias("query_id"), "vec_id", "v", "keys")
+        both = both.unionByName(asked.select("g", "query_id", F.lit(None).cast("long").alias("vec_id"), "v", "keys"))
+        found = both.repartition("g").sortWithinPartitions("g", F.asc_nulls_first("query_id")).mapInArrow(lambda bs: rank(bs), "query_id long, vec_id long, score double")
+        # Several groups may find a vec_id: its best score, which differs only between vec_ids of several vectors.
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        near = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return once.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+    def exact(queries):
+        # every query against every block of rows
+        blocks = 1 + n_rows * size // BLOCK
+        stored = rows.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn("keys", F.array().cast("array<long>"))
+        asked = queries.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        return ranked(stored, asked.withColumn("keys", F.lit(None).cast("array<long>")))
+
+    def enough():
+        # the least number of probes that finds RECALL of some queries' true neighbours; None if MORE times as many do not
+        some = queries.groupBy("query_id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("query_id")).limit(SAMPLE).collect()
+        if not some:
+            return probes
+        true = cut(exact(queries.sparkSession.createDataFrame(some, "query_id long, v array<double>")))
+        near: dict = {}
+        for r in true.join(rows, "vec_id").groupBy("query_id", "vec_id").agg(F.max_by("v", "row").alias("v")).collect():
+            near.setdefault(r["query_id"], []).append(r["v"])
+        h = Hashing(size, tables, hashes, width, MORE * probes)
+        masks, first = h.template(), []
+        for r in some:
+            if r["query_id"] in near:
+                own = h.keys(np.floor(h.places(unit(np.array(near[r["query_id"]])))))
+                keys = h.probed(unit(np.array([r["v"]]))[0], masks)
+                equal = [[np.flatnonzero(keys[t] == x[t])[:1] for t in range(tables)] for x in own]
+                first += [min([int(p[0]) for p in x if len(p)], default=MORE * probes) for x in equal]
+        tried = [probes << k for k in range(MORE.bit_length())]
+        return next((p for p in tried if not first or np.mean(np.array(first) < p) >= RECALL), None)
+
+    n_rows, n_ids = rows.agg(F.count("*"), F.count_distinct("vec_id")).first()
+    queries = rows.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"), "v")
+    chosen = enough()
+    if chosen is None:
+        return exact(queries)
+    how = (size, tables, hashes, width, chosen)
     placed = cut(rows.mapInArrow(lambda bs: index(bs), "row long, t int, key long"))
     buckets = placed.groupBy("t", "key").agg(F.count("*").alias("size"))
     parts = F.ceil(F.col("size") / group).cast("int")
@@ -175,17 +243,17 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
     to_group = F.pmod(F.xxhash64("t", "key", "salt"), n_groups).alias("g")
     buckets = cut(buckets.select("t", "key", parts.alias("parts")))
     held = placed.join(buckets, ["t", "key"]).withColumn("salt", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).select("row", "key", to_group)
-    stored = held.groupBy("row", "g").agg(F.collect_list("key").alias("keys")).join(rows, "row").select("g", F.lit(None).cast("long").alias("query_id"), "vec_id", "v", "keys")
-    queries = rows.where(F.col("vec_id") % every == 0)
-    asked = queries.mapInArrow(lambda bs: probe(bs), "row long, t int, key long").join(buckets, ["t", "key"])
+    stored = held.groupBy("row", "g").agg(F.collect_list("key").alias("keys")).join(rows, "row")
+    asked = queries.select("row", "query_id", "v").mapInArrow(lambda bs: probe(bs), "row long, t int, key long").join(buckets, ["t", "key"])
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("row", "key", to_group)
-    asked = asked.groupBy("row", "g").agg(F.collect_set("key").alias("keys")).join(queries.select("row", F.col("vec_id").alias("query_id"), "v"), "row")
-    both = stored.unionByName(asked.select("g", "query_id", F.lit(None).cast("long").alias("vec_id"), "v", "keys"))
-    found = both.repartition("g").sortWithinPartitions("g", F.asc_nulls_first("query_id")).mapInArrow(lambda bs: rank(bs), "query_id long, vec_id long, score double")
-    # Several groups may find a vec_id: its best score, which differs only between vec_ids of several vectors.
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    near = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    asked = asked.groupBy("row", "g").agg(F.collect_set("key").alias("keys")).join(queries, "row")
+    probed_for = cut(ranked(stored, asked))
+    # Queries whose probes found too few are searched exactly.
+    full = probed_for.groupBy("query_id").count().where(F.col("count") >= min(top, n_ids - 1)).select("query_id")
+    short = cut(queries.join(full, "query_id", "left_anti"))
+    if short.isEmpty():
+        return probed_for
+    return probed_for.join(full, "query_id", "left_semi").unionByName(exact(short))
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
