@@ -1,10 +1,12 @@
 """Operators over whole tables, where a registered query shows only a part."""
 
+import json
+
 import numpy as np
 import pyarrow.parquet as pq
 from oracle import compare, connect
 
-from veduta.llm import neighbours
+from veduta.llm import chat, neighbours
 from veduta.plans import catalogue
 
 SF = "/root/testdata/sf0.01"
@@ -77,3 +79,20 @@ def test_neighbours_recall_by_dimension(spark):
     rows = list(enumerate(np.random.default_rng(7).normal(size=(2000, 256))))
     got, want = found(neighbours.neighbours(embeddings(spark, rows))), nearest(rows)
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_chat_keeps_every_text(spark):
+    rows = [
+        (1, 0, "tool", "plain words"),
+        (1, 1, "tool", 'before <tool_result>{"id":"a","content":1}</tool_result> after'),
+        (1, 2, "assistant", "x <tool_call>{broken</tool_call><tool_result>[1]</tool_result>"),
+        (1, 3, "tool", '{"id":"a","output":"payload"}'),
+        (1, 4, "tool", '{"id":"a","content":"all"}'),
+    ]
+    got = {(r.turn, r.kind): json.loads(r.json) for r in chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[0, "message"]["content"] == got[0, "result"]["raw"] == "plain words"
+    said = got[1, "message"]["content"]
+    assert said.startswith("before") and said.endswith("after") and got[1, "result"] == {"content": 1, "id": "a"}
+    assert got[2, "call"] == {"raw": "{broken"} and got[2, "result"]["raw"] == "[1]"
+    assert got[3, "message"]["content"] == "" and "payload" in got[3, "result"]["raw"]
+    assert got[4, "result"] == {"content": "all", "id": "a"}

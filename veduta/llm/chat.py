@@ -2,7 +2,8 @@
 
 A call is a span ``<tool_call>{"id", "name", "arguments"}</tool_call>`` in a message of any role; a result is a
 ``<tool_result>{"id", "content"}</tool_result>`` span, or a message of role ``tool`` whose whole text is such an object
-(``tool_call_id`` is taken for ``id``).  A row comes out for every message, call and result.
+(``tool_call_id`` is taken for ``id``).  A tool message of any other text without a span keeps its text and has a
+malformed result besides.  A row comes out for every message, call and result.
 
 Results are hash-joined to calls by (conv_id, id); of calls with the same id, the first by position counts.  Topological
 order needs no recursion, as every edge goes from a call to its results: an event's place is (turn, part, kind), and a
@@ -10,7 +11,8 @@ result that precedes its call takes the place right behind the call.  Places sor
 ``order_turn, order_part, order_kind, turn, part``; no conversation is gathered into one task.
 
 Arguments are validated against a table of schemas: known name, required keys present, values of the declared type,
-no undeclared keys.  Canonical JSON is that of a parsed variant: keys in order, no white space.
+no undeclared keys.  Canonical JSON is that of a parsed variant: keys in order, no white space.  Calls and results that are malformed, or hold
+more than these fields, have their text as it was written under ``raw``.
 
 ``status``: message | call: answered, unanswered, duplicate, malformed | result: linked, orphan, malformed.
 Null text is an empty message; a null conv_id or id links to nothing.  Repeated rows give repeated events, an empty table none.
@@ -62,10 +64,12 @@ def linked(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """conv_id, turn, part, kind, call_id, name, status, error, order_turn, order_part, order_kind, json."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     spans = lambda tag: F.regexp_extract_all(text, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
-    whole = F.when((role == "tool") & (F.size(spans("tool_result")) == 0), F.array(text)).otherwise(spans("tool_result"))
-    rows = messages.select("conv_id", "turn", role.alias("role"), text.alias("text"), spans("tool_call").alias("calls"), whole.alias("results"))
+    alone = (role == "tool") & (F.size(spans("tool_result")) == 0)
+    is_object = alone & F.coalesce(F.to_json(F.try_parse_json(text)).startswith("{"), F.lit(False))
+    whole = F.when(alone, F.array(text)).otherwise(spans("tool_result"))
+    rows = messages.select("conv_id", "turn", role.alias("role"), text.alias("text"), is_object.alias("is_object"), spans("tool_call").alias("calls"), whole.alias("results"))
     plain = F.trim(F.regexp_replace("text", r"(?s)<(tool_call|tool_result)>.*?</\1>", ""))
-    plain = F.when((F.col("role") == "tool") & (F.size("results") > 0), F.lit("")).otherwise(plain)
+    plain = F.when(F.col("is_object"), F.lit("")).otherwise(plain)
     event = lambda kind, place, raw: F.struct(F.lit(kind).alias("kind"), place.cast("int").alias("part"), raw.alias("raw"))
     events = F.concat(
         F.array(event("message", F.lit(0), plain)),
@@ -94,14 +98,20 @@ def linked(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     early = F.coalesce((F.col("kind") == "result") & (here < first), F.lit(False))
     order = [F.when(early, first["turn"]).otherwise(F.col("turn")).alias("order_turn"), F.when(early, first["part"]).otherwise(F.col("part")).alias("order_part"), F.when(F.col("kind") == "result", 1).otherwise(0).alias("order_kind")]
     error = F.when(F.col("kind") == "call", schema_error(F.col("name"), F.col("arguments"), schemas))
+    # What the fields do not hold stays as it was written.
+    known = F.when(F.col("kind") == "call", F.array(*map(F.lit, ("arguments", "id", "name"))))
+    keys = F.json_object_keys("raw")
+    known = known.when(F.array_contains(keys, "id"), F.array(F.lit("content"), F.lit("id"))).otherwise(F.array(F.lit("content"), F.lit("tool_call_id")))
+    more = F.col("call_id").isNull() | ((F.col("kind") == "call") & F.col("name").isNull()) | F.coalesce(F.size(F.array_except(keys, known)) > 0, F.lit(True))
+    raw = F.when(more, F.col("raw"))
     # A field that is JSON already is put in as it is; keys stand in order.
     quoted = lambda x: F.when(x.isNotNull(), F.regexp_replace(F.to_json(F.struct(x.alias("x"))), r'(?s)^\{"x":(.*)\}$', "$1"))
     field = lambda key, value: F.concat(F.lit(f'"{key}":'), value)
     made = lambda *fields: F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ","), F.lit("}"))
     json = (
         F.when(F.col("kind") == "message", made(field("content", quoted(F.col("raw"))), field("role", quoted(F.col("role")))))
-        .when(F.col("kind") == "call", made(field("arguments", F.col("arguments")), field("id", quoted(F.col("call_id"))), field("name", quoted(F.col("name")))))
-        .otherwise(made(field("content", F.col("content")), field("id", quoted(F.col("call_id")))))
+        .when(F.col("kind") == "call", made(field("arguments", F.col("arguments")), field("id", quoted(F.col("call_id"))), field("name", quoted(F.col("name"))), field("raw", quoted(raw))))
+        .otherwise(made(field("content", F.col("content")), field("id", quoted(F.col("call_id"))), field("raw", quoted(raw))))
     )
     return both.select("conv_id", "turn", "part", "kind", "call_id", "name", status.alias("status"), error.alias("error"), *order, json.alias("json"))
 
