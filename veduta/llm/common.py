@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,30 +14,95 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Code points on which the ``regex`` module and the tokenizers' own splitter are known to agree.
 _PLAIN = regex.compile(r"[^\x00-\x1b\x20-ɏ‐-‧€]")
 SPECIAL = "<|endoftext|>"
+#: Rows of a table that is joined by broadcast, about 10 MB.
+MOST_BROADCAST = 200_000
+_FOLDERS: dict = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written tables: the session's ``spark.checkpoint.dir``, or where that is unset, a local one.
+
+    A local one serves only a local master; elsewhere executors would write to folders of their own.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark not in _FOLDERS:
+        _FOLDERS[spark] = tempfile.mkdtemp(prefix="tables-")
+    return _FOLDERS[spark]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder and reads it again, so that lost executors cost no recomputation.
+    """Writes ``df`` as Parquet to the shared folder and reads it again: lost executors cost no recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is used only where that is unset.
+    The columns must have names and types that Parquet knows.  ``release`` deletes the table.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    done = df.checkpoint(eager=True)._jdf
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if done.rdd().getNumPartitions() > most:  # unions add up and split joins add more, round by round
-        done = done.coalesce(most)
-    # A checkpointed plan still carries the constraints of the plan before it, which double in every round of an
-    # iteration until planning never ends; the same rows under a plan of their own carry none.
-    spark = df.sparkSession
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+    spark, at = df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", 32 << 20).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def attached(rows: DataFrame, info: DataFrame, key: str, most: int = MOST_BROADCAST, salts: int = 64) -> DataFrame:
+    """``rows`` with the columns of ``info``, which has one row for each value of ``key`` and is a written table.
+
+    Its size is checked: up to ``most`` rows, eight characters of ``key`` counting as one, it is broadcast; beyond that
+    each of its rows is repeated for every salt, so that the rows of one key meet it in as many tasks.  Keys may be null.
+    """
+    own, more = f"__of_{key}", [c for c in info.columns if c != key]
+    right = info.withColumnRenamed(key, own)
+    r = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.col(own).cast("string"))), F.lit(0)).alias("chars")).first()
+    same = F.col(key).eqNullSafe(F.col(own))
+    if r["n"] + r["chars"] // 8 <= most:
+        return rows.join(F.broadcast(right), same).select(*rows.columns, *more)
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int"))
+    right = right.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, same & (F.col("__salt") == F.col("__salt_of"))).select(*rows.columns, *more)
+
+
+def grouped_rows(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined to their ``groups`` (one row a ``key``, with the number of its rows in ``size``).
+
+    Both come from written tables, as each is read twice.  Groups with over a thousandth of all rows, fewer than a thousand by that, are broadcast, so
+    that their rows stay where they are; the others meet by key.  Rows without a group are left out, as are null keys.
+    """
+    least = max(100, rows.count() // 1000)
+    own, more = f"__of_{key}", [c for c in groups.columns if c != key]
+    right = groups.withColumnRenamed(key, own)
+    hot, cold = F.broadcast(right.where(F.col(size) > least)), right.where(F.col(size) <= least)
+    same = F.col(key) == F.col(own)
+    there = rows.join(hot, same).select(*rows.columns, *more)
+    return there.unionByName(rows.join(hot, same, "left_anti").join(cold, same).select(*rows.columns, *more))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    name, taken = f"__{name}", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -45,14 +111,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def repeated(rows: DataFrame, key: str = "doc_id") -> bool:
+    """Whether a value of ``key``, null included, stands in several rows."""
+    return not rows.groupBy(key).count().where("count > 1").isEmpty()
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are in ``kept`` (doc_id and text_hash, the xxhash64 of the text), one for each."""
     right = cut(kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")))
-    own = docs.withColumn("__own", F.xxhash64("text"))
-    out = own.join(right, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # perhaps rows equal in doc_id and text
-        out = out.dropDuplicates(["doc_id", "__own"])
-    return out.select(*docs.columns)
+    # The columns travel as one struct, so that their names clash with none of these.
+    own = docs.select(F.col("doc_id").alias("__of"), F.xxhash64("text").alias("__own"), F.struct(*[plain(c) for c in docs.columns]).alias("__doc"))
+    out = own.join(right, F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left_semi")
+    if repeated(docs):  # perhaps rows equal in doc_id and text
+        out = out.dropDuplicates(["__of", "__own"])
+    return out.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
 
 
 class Splitter:

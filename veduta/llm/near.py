@@ -3,8 +3,9 @@
 Words are runs of letters, digits and underscores, lower-cased.  A document's k-mers are its five-word runs in text order
 (one of all words if it has fewer), each labelled with its occurrence number.  A sketch takes the ``ELL`` k-mers that
 are least under one of ``TABLES`` hash functions and keeps them in text order; documents with an equal sketch are
-candidates.  At a similarity of 0.8 a pair shares one of the sketches with probability 1 - (1 - 0.8**4)**24, all but
-some 3 in a million.
+candidates.  At a similarity of 0.8 a pair of long texts shares one of the sketches with probability
+1 - (1 - 0.8**4)**24, all but some 3 in a million, and one of 20 k-mers all but some 10 in a million; texts with fewer
+than ``SHORT`` k-mers are compared exactly.
 
 Similarity of two documents is L / (a + b - L), where a and b are their numbers of k-mers and L is the length of
 their longest common subsequence of labelled k-mers.  A similarity of ``least`` allows (a + b)(1 - least)/(1 + least)
@@ -12,27 +13,28 @@ unmatched k-mers, so only matches within that band of the diagonal are aligned,
 are not aligned at all.  Documents of 0.8 or more are linked; a class is a connected component of links.
 
 Documents with equal words are one text.  Texts are compared in rounds: each with the centre with which it shares
-most sketches; then one pair for each two classes that still share a bucket, several times, about other centres; then
-every pair of a bucket that still lies in two classes, was not compared and may be similar by the two texts' outlines:
-the sum over 128 hash places of the smaller number of k-mers is at least the number of common ones, which rules out
-texts that merely share a common passage without moving them.  Pairs within a class are never needed, so
-a bucket of thousands of near copies costs a few comparisons each and no link between classes is lost.  Components
-are found by joins, pointers halving each time.
-
-Null and empty texts, and others without a word, have no near-duplicates and are classes of their own.  Repeated rows are
-in one class.  A null doc_id is smaller than any other.  An empty table gives an empty result; other columns are not
-read.
+most sketches; then one pair for each two classes that still share a bucket, several times, about other centres.  The
+texts of buckets that then still hold several classes, and all short ones, are compared with every text of another
+class with which they share one of their rarest k-mers: two texts of similarity ``least`` do, and texts that merely
+share a common passage do not.  Pairs within a class are never needed, so a bucket of thousands of near copies costs a
+few comparisons each, and no link between classes is lost.  Components are found by joins, pointers halving each time.
+
+Null and empty texts, and others without a word, have no near-duplicates: rows without a word are in one class only if
+doc_id and text are equal.  Repeated rows are in one class.  Very long texts are sketched and aligned whole.  Of equally
+good centres the larger row counts, which may change comparisons but not classes; of a class the row with the smallest
+doc_id is kept, null being smaller than any other, and of these one.  An empty table gives an empty result.
+``near_groups`` reads doc_id and text alone; ``near_dedup`` keeps every column, whatever its name.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veduta.llm.common import cut, keep_rows, table
+from veduta.llm.common import cut, grouped_rows, keep_rows, release, repeated, table
 
-K, ELL, TABLES, LEAST, ROUNDS = 5, 4, 24, 0.8, 3
+K, ELL, TABLES, LEAST, ROUNDS, SHORT = 5, 4, 24, 0.8, 3, 20
 
 
 class WordHashes(dict):
@@ -127,15 +129,6 @@ def aligned(a, b, least: float = LEAST) -> float:
     return n / (total - n)
 
 
-def _outlined(batches):
-    """How many of a text's labels fall into each of 128 places."""
-    import numpy as np
-
-    for b in batches:
-        own = [np.bincount((np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(57)).astype(np.int64), minlength=128).astype(np.int32) for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], ["rep", "outline"])
-
-
 def _sketched(docs: DataFrame, k: int, ell: int, tables: int) -> DataFrame:
     """doc_id, text_hash, n_words, digest, n, keys of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -173,35 +166,120 @@ def _verified(pairs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label of every node of the links (a, b): the least node of its component."""
+    """A written table (node, label, moved) of every node of the links (a, b): the least node of its component.
+
+    A node takes the least label about it and that label's own, until none moves; a step's table replaces the last's.
+    """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    now = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         there = now.select(F.col("node").alias("b"), F.col("label").alias("there"))
         low = both.join(there, "b").groupBy("a").agg(F.min("there").alias("low"))
-        own = now.join(low, now["node"] == low["a"]).select("node", "label", F.least("label", "low").alias("low"))
+        own = now.join(low, F.col("node") == F.col("a")).select("node", "label", F.least("label", "low").alias("low"))
         jump = now.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        after = cut(own.join(jump, "low").select("node", F.least("low", "next").alias("new"), (F.least("low", "next") != F.col("label")).alias("moved")))
-        now = after.select("node", F.col("new").alias("label"))
-        if after.where("moved").isEmpty():
+        least = F.least("low", "next")
+        after = cut(own.join(jump, "low").select("node", least.alias("label"), (least != F.col("label")).alias("moved")))
+        release(now)
+        now = after
+        if now.where("moved").isEmpty():
+            release(both)
             return now
 
 
-def near_groups(docs: DataFrame, k: int = K, ell: int = ELL, tables: int = TABLES, least: float = LEAST, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id), class_size, kept (one row of each class) and text_hash."""
-    rows = cut(_sketched(docs, k, ell, tables).withColumn("row", F.monotonically_increasing_id()))
-    text = F.when(F.col("n_words") > 0, F.lit(-1)).otherwise(F.col("row"))  # wordless texts are not equal
-    first = F.min(F.struct("row", "doc_id", "text_hash")).alias("first")
-    reps = rows.where("n_words > 0").groupBy("digest").agg(first, F.min("n").alias("n"), F.any_value("keys").alias("keys"))
-    reps = cut(reps.select(F.col("first.row").alias("rep"), "digest", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "n", "keys"))
+class Classes:
+    """The classes so far: node, label of every linked text; any other is its own class."""
+
+    def __init__(self, links: DataFrame):
+        self.table = components(links)
+
+    def add(self, links: DataFrame) -> None:
+        """Merges classes by links between their labels; only these are looked at."""
+        more, old = components(links), self.table
+        to = more.select(F.col("node").alias("n"), F.col("label").alias("to"))
+        known = old.join(to, F.col("label") == F.col("n"), "left").select("node", F.coalesce("to", "label").alias("label"))
+        fresh = more.join(old.select("node"), "node", "left_anti").select("node", "label")
+        self.table = cut(known.unionByName(fresh))
+        release(old, more)
+
+    def of(self, rows: DataFrame, node: str, name: str) -> DataFrame:
+        """``rows`` with the class of ``node``."""
+        own = self.table.select(F.col("node").alias(f"__{name}"), F.col("label").alias(name))
+        return rows.join(own, F.col(node) == F.col(f"__{name}"), "left").select(*rows.columns, F.coalesce(name, node).alias(name))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose texts lie in two classes, with these as la and lb."""
+        return self.of(self.of(pairs, "a", "la"), "b", "lb").where("la <> lb")
+
+
+def _fits(x: str, y: str, least: float):
+    """Whether sizes differ so little that texts of these can be similar enough."""
+    return F.least(x, y) >= least * F.greatest(x, y) - 1e-9
+
 
-    each = reps.select("rep", "n", F.explode("keys").alias("key"))
+def _prefix_pairs(labels: DataFrame, texts: DataFrame, least: float, block: int = 256) -> DataFrame:
+    """a, b, la, lb: all pairs of ``texts`` (rep, la) of two classes that may be similar enough.
+
+    Labels are ordered by how many texts hold them, those within one class first.  Two similar texts share a label among
+    the first n - ceil(least * n) + 1 of each, which a common passage is not among, as its labels are frequent.  Texts
+    that meet at a label held by more than ``block`` of them meet by pairs of blocks.
+    """
+
+    def spread(batches):
+        import numpy as np
+
+        for b in batches:
+            own = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column(2)]
+            n = [len(x) for x in own]
+            each = lambda c: pa.array(np.repeat(c.to_numpy(), n))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), each(b.column(0)), each(b.column(1)), pa.array(np.repeat(np.array(n), n))], ["label", "rep", "la", "n"])
+
+    each = cut(texts.join(labels, "rep").select("rep", "la", "labels").mapInArrow(spread, "label long, rep long, la long, n long"))
+    held = F.count("*").alias("held"), F.min("la").alias("lo"), F.max("la").alias("hi")
+    common = cut(each.groupBy("label").agg(*held).where("lo <> hi").select("label", "held"))
+    whole = Window.partitionBy("rep")
+    ranked = grouped_rows(each, common, "label", "held")
+    ranked = ranked.withColumns({"place": F.row_number().over(whole.orderBy("held", "label")), "own": F.col("n") - F.count("*").over(whole)})
+    place = (F.col("own") + F.col("place")).alias("place")  # from 1, among all of the text's labels
+    first = ranked.where(F.col("own") + F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1).select("label", "rep", "la", "n", place)
+    first = cut(first)
+    blocks = first.groupBy("label").agg(*held).where("lo <> hi").select("label", F.ceil(F.col("held") / block).cast("int").alias("blocks"), "held")
+    blocks = cut(blocks)
+    met = grouped_rows(first, blocks, "label", "held").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "la", "n", "place")
+    names = ("block", "rep", "la", "n", "place")
+    left = met.select("label", "x", "y", *[F.col(c).alias(f"{c}_a") for c in names])
+    right = met.select("label", "x", "y", *[F.col(c).alias(f"{c}_b") for c in names])
+    # Once for each pair of blocks; of what follows a shared label, enough must be left in both.
+    once = (F.col("rep_a") < F.col("rep_b")) & (F.col("la_a") != F.col("la_b")) & ((F.col("x") == F.col("y")) == (F.col("block_a") == F.col("block_b")))
+    need = least * (F.col("n_a") + F.col("n_b")) / (1 + least) - 1e-6
+    enough = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need
+    pairs = left.join(right, ["label", "x", "y"]).where(once & _fits("n_a", "n_b", least) & enough)
+    out = cut(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), F.col("la_a").alias("la"), F.col("la_b").alias("lb")).distinct())
+    release(each, common, first, blocks)
+    return out
+
+
+def near_groups(docs: DataFrame, k: int = K, ell: int = ELL, tables: int = TABLES, least: float = LEAST, rounds: int = ROUNDS, short: int = SHORT) -> DataFrame:
+    """doc_id, class_id (the class's smallest doc_id), class_size, kept (one row of each class) and text_hash."""
+    wordless = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_hash"))
+    rows = _sketched(docs, k, ell, tables).withColumn("digest", F.when(F.col("n_words") > 0, F.col("digest")).otherwise(F.md5(wordless).cast("binary")))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    first, smallest = F.min(F.struct("row", "doc_id", "text_hash")).alias("first"), F.min(F.struct("doc_id", "row")).alias("smallest")
+    texts = rows.groupBy("digest").agg(first, smallest, F.count("*").alias("copies"), F.min("n").alias("n"), F.any_value("keys").alias("keys"))
+    texts = cut(texts.select(F.col("first.row").alias("rep"), "digest", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "smallest", "copies", "n", "keys"))
+    reps = texts.where("n > 0")
+
+    # Buckets of two texts or more: their members and, apart from these, their centres.
+    each = reps.select("rep", F.explode("keys").alias("key"))
     centre = [F.min(F.struct(F.xxhash64("rep", F.lit(r)), "rep")).getField("rep").alias(f"c{r}") for r in range(rounds)]
-    buckets = each.groupBy("key").agg(F.count("*").alias("size"), *centre).where("size > 1")
-    members = cut(each.join(buckets, "key"))
+    centres = cut(each.groupBy("key").agg(F.count("*").alias("held"), *centre).where("held > 1"))
+    members = cut(grouped_rows(each, centres.select("key", "held"), "key", "held").select("rep", "key", "held"))
 
-    needed = members.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep")
-    wanted = needed.select("rep", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).hint("shuffle_hash")
+    brief = F.col("n") * least < short  # all that may be similar to a short text
+    needed = members.select("rep").unionByName(reps.where(brief).select("rep")).distinct()
+    # The side that is hashed has 24 bytes a text.
+    wanted = needed.join(reps, "rep").select("rep", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).hint("shuffle_hash")
     source = docs.select("doc_id", "text", F.xxhash64("text").alias("own_hash"))
     found = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash"))).select("rep", "text")
 
@@ -210,56 +288,54 @@ def near_groups(docs: DataFrame, k: int = K, ell: int = ELL, tables: int = TABLE
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kmers(x.as_py())[2].astype("<u8").tobytes() for x in b.column(1)], pa.binary())], ["rep", "labels"])
 
-    labels = cut(found.mapInArrow(labelled, "rep long, labels binary").dropDuplicates(["rep"]))
-
-    def with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs whose texts lie in two classes, with these."""
-        a = classes.select(F.col("node").alias("a"), F.col("label").alias("la"))
-        b = classes.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        both = pairs.join(a, "a", "left").join(b, "b", "left")
-        return both.withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).where("la <> lb")
-
-    fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9  # noqa: E731  shorter texts can't be similar enough
-    sizes = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"))
+    labels = found.mapInArrow(labelled, "rep long, labels binary")
+    if repeated(rows):
+        labels = labels.dropDuplicates(["rep"])
+    labels = cut(labels)
+    sizes_a, sizes_b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
 
     def about(r: int) -> DataFrame:
         """Each text with the centres of its buckets, and the number of buckets."""
-        pairs = members.where(f"rep <> c{r}").groupBy(F.col("rep").alias("a"), F.col(f"c{r}").alias("b")).agg(F.count("*").alias("shared"), F.min("n").alias("na"))
-        return pairs.join(sizes, "b").where(fits(F.col("na"), F.col("nb"))).select("a", "b", "shared")
+        there = grouped_rows(members.drop("held"), centres.select("key", "held", F.col(f"c{r}").alias("b")), "key", "held")
+        pairs = there.where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("shared"))
+        return pairs.join(sizes_a, "a").join(sizes_b, "b").where(_fits("na", "nb", least)).select("a", "b", "shared")
 
-    best = about(0).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    tried = cut(best)
+    tried = cut(about(0).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
     links = cut(_verified(tried, labels, least))
-    classes = components(links)
+    classes = Classes(links)
+    release(links)
+
+    def joined(pairs: DataFrame) -> None:
+        """Verifies pairs, given with their classes la and lb, and joins the classes of the similar ones."""
+        links = cut(pairs.join(_verified(pairs, labels, least), ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        if not links.isEmpty():
+            classes.add(links)
+        release(links)
+
     for r in range(1, rounds):
-        apart = with_classes(about(r), classes)
-        chosen = apart.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("pair"))
-        more = cut(chosen.select("pair.a", "pair.b").join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(more)
-        links = cut(links.unionByName(_verified(more, labels, least)))
-        classes = components(links)
-
-    # Every pair of a bucket that still lies in two classes.
-    own = members.select("key", F.col("rep").alias("a"), F.col("n").alias("na"))
-    labelled_members = own.join(classes.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").withColumn("la", F.coalesce("la", "a"))
-    mixed = labelled_members.groupBy("key").agg(F.min("la").alias("lo"), F.max("la").alias("hi")).where("lo <> hi").select("key")
-    open_ = cut(labelled_members.join(mixed, "key"))
-    outlines = cut(labels.join(open_.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").mapInArrow(_outlined, "rep long, outline array<int>"))
-    left = open_.join(outlines.select(F.col("rep").alias("a"), F.col("outline").alias("oa")), "a")
-    right = left.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("la").alias("lb"), F.col("oa").alias("ob"))
-    common = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)  # at least the common k-mers
-    could = common * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-6
-    apart = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb")) & could
-    rest = left.join(right, "key").where(apart).select("a", "b").distinct()
+        pair = F.max_by(F.struct("a", "b", "la", "lb"), F.struct("shared", "a", "b")).alias("pair")
+        chosen = classes.apart(about(r)).groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(pair)
+        more = cut(chosen.select("pair.*").join(tried, ["a", "b"], "left_anti"))
+        joined(more)
+        before, tried = tried, cut(tried.unionByName(more.select("a", "b")))
+        release(more, before)
+
+    # What is left: the texts of buckets that still hold several classes, and short ones.
+    mixed = classes.of(members, "rep", "la").groupBy("key").agg(F.min("la").alias("lo"), F.max("la").alias("hi"), F.count("*").alias("held"))
+    mixed = cut(mixed.where("lo <> hi").select("key", "held"))
+    left = grouped_rows(members.drop("held"), mixed, "key", "held").select("rep").unionByName(reps.where(brief).select("rep")).distinct()
+    left = cut(classes.of(left, "rep", "la"))
+    rest = _prefix_pairs(labels, left, least)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(_verified(rest.join(done, ["a", "b"], "left_anti"), labels, least))
-    classes = components(links)
-
-    of = reps.select("digest", "rep").join(classes.select(F.col("node").alias("rep"), "label"), "rep", "left").select(F.col("digest").alias("d"), F.coalesce("label", "rep").alias("label"))
-    keyed = rows.select("doc_id", "text_hash", "row", "digest", text.alias("alone"))
-    placed = cut(keyed.join(of, (F.col("digest") == F.col("d")) & (F.col("alone") < 0), "left").withColumn("class", F.coalesce("label", "row")))
-    groups = placed.groupBy(F.col("class").alias("c")).agg(F.min(F.struct("doc_id", "row")).alias("least"), F.count("*").alias("class_size"))
-    return placed.join(groups, F.col("class") == F.col("c")).select("doc_id", F.col("least.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("least.row")).alias("kept"), "text_hash")
+    last = cut(rest.join(done, ["a", "b"], "left_anti"))
+    joined(last)
+    release(rest, last, left, mixed, tried, labels, members, centres)
+
+    own = cut(classes.of(texts.select("digest", "rep", "copies", "smallest"), "rep", "class"))
+    groups = cut(own.groupBy("class").agg(F.min("smallest").alias("least"), F.sum("copies").alias("class_size"), F.count("*").alias("held")))
+    own = cut(grouped_rows(own, groups, "class", "held").select("digest", "copies", "least", "class_size"))
+    out = grouped_rows(rows.select("doc_id", "text_hash", "row", "digest"), own, "digest", "copies")
+    return out.select("doc_id", F.col("least.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("least.row")).alias("kept"), "text_hash")
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
