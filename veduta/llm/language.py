@@ -4,11 +4,14 @@ Features are n-grams of 1 to 3 characters of the lower-cased text, every run of
 one space, hashed to 2**16 places.  Document frequencies cover every training document and whole texts.  The weights
 are learned by follow-the-regularised-leader with L1 and L2 penalties from about ``sample`` rows, equally many of each
 language as far as there are (chosen by a hash of doc_id), four fifths to fit and one fifth to find the temperature
-that minimises the log loss.  That bound is the only one: prediction reads whole texts of all rows.
+that minimises the log loss.  The sample and the number of languages that can be told (the ``MOST_LANGS`` with the most
+rows; of equals the smaller by code points) are the only bounds: prediction reads whole texts of all rows, however long.
 
 Training rows have a non-null lang and crc32(doc_id as text) mod 4 other than 2; a null doc_id counts as "".  Null text
 and text without a letter is ``und`` with score 0, as is all text if there is nothing to learn from.  Repeated rows get
-equal answers.  An empty table gives an empty result; columns other than doc_id, text and lang are not read.
+equal answers, and of equally likely languages the smaller is told.  An empty table gives an empty result.  Only
+doc_id, text and lang are read; ``language_filter`` keeps every column, whatever its name, and ``classified`` all but
+those whose names its answers take.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from veduta.llm.common import table
+from veduta.llm.common import free_name, plain, table
 
-BITS, SAMPLE, EPOCHS, LEAST_SCORE = 16, 3000, 3, 0.4
+BITS, SAMPLE, MOST_LANGS, EPOCHS, LEAST_SCORE = 16, 3000, 200, 3, 0.4
 
 
 class Grams:
@@ -136,7 +140,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, epochs: int =
     import numpy as np
 
     known = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull())
-    per_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    per_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     langs = sorted(per_lang)
     size = 1 << bits
 
@@ -167,7 +171,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, epochs: int =
                 both = [grams(x.as_py()) for x in b.column(1)[i : i + 64]]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 64], b.column(2)[i : i + 64], pa.array([x.astype(np.int32) for x, _ in both], pa.list_(pa.int32())), pa.array([y.astype(np.int32) for _, y in both], pa.list_(pa.int32()))], ["place", "lang", "at", "n"])
 
-    chosen = known.where(chance < F.element_at(share, F.col("lang"))).select(F.xxhash64("doc_id", F.lit("part")).alias("place"), "text", "lang")
+    chosen = known.where(chance < F.try_element_at(share, F.col("lang"))).select(F.xxhash64("doc_id", F.lit("part")).alias("place"), "text", "lang")
     got = chosen.mapInArrow(features, "place long, lang string, at array<int>, n array<int>").toArrow().sort_by("place")
     rows, labels = [], []
     for at, n, lang in zip(got["at"], got["n"], got["lang"].to_pylist(), strict=True):
@@ -183,27 +187,33 @@ def train(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS, epochs: int =
     return Model(langs, w.astype(np.float32), b, idf, heat, bits)
 
 
-def classified(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The rows of ``docs`` with the predicted language and its score, which replace columns of these names."""
+def told(model: Model, text: F.Column) -> F.Column:
+    """The struct (lang, score) of a text; only texts go to Python, and only answers come back."""
 
-    rows = docs.drop(*names)
-    place = rows.columns.index("text")
+    @arrow_udf("struct<lang string, score double>")
+    def answer(texts: pa.Array) -> pa.Array:
+        got = [model.predict(x.as_py()) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], ["lang", "score"])
 
-    def run(batches):
-        for b in batches:
-            got = [model.predict(x.as_py()) for x in b.column(place)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], [*b.schema.names, *names])
+    return answer(text)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return rows.mapInArrow(run, ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
+
+def classified(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of ``docs`` with the predicted language and its score, which replace columns of these names."""
+    hidden = free_name(docs, "told")
+    rows = docs.withColumn(hidden, told(model, F.col("text")))
+    kept = [plain(c) for c in docs.columns if c not in names]
+    return rows.select(*kept, F.col(hidden)["lang"].alias(names[0]), F.col(hidden)["score"].alias(names[1]))
 
 
 def language_filter(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is told: not ``und`` and with at least that score."""
-    told = classified(docs, train(docs), ("__lang_pred", "__lang_score"))
-    return told.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= least)).select(*docs.columns)
+    hidden = free_name(docs, "told")
+    rows = docs.withColumn(hidden, told(train(docs), F.col("text")))
+    return rows.where((F.col(hidden)["lang"] != "und") & (F.col(hidden)["score"] >= least)).select(*[plain(c) for c in docs.columns])
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return classified(docs.select("doc_id", "text", held_out().alias("held_out")), train(docs)).drop("text")
+    answer = told(train(docs), F.col("text"))
+    return docs.select("doc_id", held_out().alias("held_out"), answer.alias("told")).select("doc_id", "held_out", F.col("told.lang").alias("lang_pred"), F.col("told.score").alias("score"))
