@@ -6,6 +6,8 @@ A NULL or NaN is missing.  Numbers compare as doubles, dates as epoch millisecon
 from __future__ import annotations
 
 import datetime as dt
+import math
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -88,6 +90,19 @@ def js_number(c: Column, t: T.DataType) -> Column:
     return F.when(s == "", 0.0).when(radix.isNotNull(), radix.try_cast("double")).otherwise(F.coalesce(F.when(~s.rlike("(?i)^[+-]?inf$|nan|infinity") | s.rlike("^[+-]?Infinity$"), text_number(s)), F.lit(float("nan"))))
 
 
+_COMPARISONS = {"eq": operator.eq, "gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
+
+
+def _whole(c: Column, op: str, x: float, literal) -> Column:
+    """A column of whole numbers compared with any number, as one of whole numbers; ``literal`` spells one."""
+    low = math.floor(x)
+    if low == x:
+        return _COMPARISONS[op](c, literal(int(low)))
+    if op == "eq":
+        return F.lit(False) & c.isNotNull()
+    return c > literal(int(low)) if op in ("gt", "gte") else c <= literal(int(low))
+
+
 @dataclass(frozen=True)
 class View:
     """One column of a table."""
@@ -116,6 +131,34 @@ class View:
             return text_number(self.raw.cast("string"))
         return self.value.cast("int").cast("double") if self.kind == "bool" else self.value.cast("double")
 
+    def compared(self, op: str, x: float) -> Column:
+        """``num`` compared with ``x``, written over the bare column wherever that is the same, so that the scan gets it."""
+        if isinstance(self.type, T.IntegralType) and abs(x) < 2**53:
+            return _whole(self.raw, op, x, F.lit)
+        if self.kind == "datetime" and abs(x) < 2**43:
+            return self._moments(op, x)
+        if real(self.type):
+            # NaN is greater than any number
+            out = _COMPARISONS[op](self.raw, F.lit(float(x)))
+            return out & ~F.isnan(self.raw) if op in ("gt", "gte") else out
+        return _COMPARISONS[op](self.num, F.lit(x))
+
+    def _moments(self, op: str, x: float) -> Column:
+        micros = round(x * 1000)
+        exact = micros / 1000.0 == x
+        unit = 86_400_000_000 if isinstance(self.type, T.DateType) else 1
+        at = micros / unit if exact and micros % unit == 0 else (micros if exact else math.floor(x * 1000) + 0.5) / unit
+        if isinstance(self.type, T.DateType):
+            return _whole(self.raw, op, at, lambda d: F.date_from_unix_date(F.lit(d)))
+        return _whole(self.raw, op, at, lambda m: F.timestamp_micros(F.lit(m)).cast(self.type))
+
+    def among(self, numbers: list[float]) -> Column:
+        """Whether ``num`` is one of some numbers."""
+        if isinstance(self.type, T.IntegralType) and all(abs(x) < 2**53 for x in numbers):
+            whole = [int(x) for x in numbers if x == math.floor(x)]
+            return self.raw.isin(whole) if whole else F.lit(False) & self.raw.isNotNull()
+        return self.raw.isin(numbers) if real(self.type) else self.num.isin(numbers)
+
     @property
     def txt(self) -> Column:
         return js_text(self.value, self.type)

@@ -12,6 +12,11 @@ NAMES = ("count", "countValues", "distinct", "sum", "sumSquares", "avg", "min",
 _ON_TEXT = ("min", "max", "range")
 
 
+def levels_of(fn: str) -> tuple[float, ...]:
+    """The quantiles an aggregate is made of; of two it is the distance."""
+    return (0.25, 0.75) if fn == "iqr" else (QUANTILES[fn],) if fn in QUANTILES else ()
+
+
 def aggregate(v: View, fn: str) -> Column:
     if fn not in NAMES:
         raise ValueError(f"unknown aggregate {fn!r}")

@@ -6,20 +6,26 @@ stay lazy DataFrames; bounded ones (buckets, statistics) are lists and dicts.
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import operator
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegralType, NumericType
 
-from veduta.functions.columns import Schema, epoch_ms, moment, plain
+from veduta.functions.columns import Schema, epoch_ms, kind_of, moment, plain
 from veduta.operators import facets
-from veduta.operators.aggregates import aggregate
+from veduta.operators.aggregates import aggregate, levels_of
+from veduta.operators.quantiles import quantiles
 from veduta.plans.ordering import keys, order
-from veduta.plans.predicates import compiled, leaf, quick
+from veduta.plans.predicates import compiled, leaf, prune_state, quick
 from veduta.sources.tables import ROW, with_row_id
 
-PAGE = 100
+PAGE, COUNTS = 100, 64
+#: Groups of a page that is broadcast.
+MOST_BROADCAST = 10_000
 
 
 class ReadOnly(Exception):
@@ -27,12 +33,20 @@ class ReadOnly(Exception):
 
 
 class Engine:
+    """A table under requests.  Row ids are made when a request first needs them; aggregates, facets and counts don't."""
+
     def __init__(self, df: DataFrame, order_by: list[str] | None = None, editable: bool = True):
         if len(set(df.columns)) < len(df.columns):
             raise ValueError("column names must differ")
-        self.df, self.editable = with_row_id(df, order_by), editable
-        self.schema = Schema(self.df, (ROW,))
+        self.source, self.order_by, self.editable = df, order_by, editable
+        self.schema = Schema(df, (ROW,))
         self.version = 0
+        self._counts: dict[str, int] = {}
+
+    @cached_property
+    def df(self) -> DataFrame:
+        """The table with row ids."""
+        return with_row_id(self.source, self.order_by)
 
     # rows
     def predicate(self, q: dict | None) -> Column | None:
@@ -40,15 +54,30 @@ class Engine:
         own = [p for p in (compiled(q.get("filters"), self.schema), quick(q.get("quick"), self.schema)) if p is not None]
         return reduce(operator.and_, own) if own else None
 
-    def matching(self, q: dict | None = None) -> DataFrame:
-        p = self.predicate(q)
-        return self.df if p is None else self.df.where(p)
+    def matching(self, q: dict | None = None, ids: bool = True) -> DataFrame:
+        """The rows under filters and quick search."""
+        p, rows = self.predicate(q), self.df if ids else self.source
+        return rows if p is None else rows.where(p)
 
     def ordered(self, q: dict | None = None) -> DataFrame:
         return self.matching(q).orderBy(*order((q or {}).get("sort"), self.schema, F.col(ROW)))
 
     def count(self, q: dict | None = None) -> int:
-        return self.matching(q).count()
+        """Rows under filters and quick search; the last ``COUNTS`` answers are remembered."""
+        key = json.dumps([(q or {}).get("filters"), (q or {}).get("quick") or ""], default=str, sort_keys=True)
+        if key not in self._counts:
+            self._counts[key] = self.matching(q, ids=False).count()
+            if len(self._counts) > COUNTS:
+                del self._counts[next(iter(self._counts))]
+        return self._counts[key]
+
+    def invalidate(self) -> None:
+        """Forgets what was remembered of the table, and lets go of rows that were persisted to be numbered."""
+        self.version += 1
+        self._counts.clear()
+        if "df" in self.__dict__:
+            self.df.unpersist()
+            del self.df
 
     def window(self, q: dict | None = None) -> DataFrame:
         """One range of the view's rows, in order."""
@@ -63,6 +92,10 @@ class Engine:
         by = Window.orderBy(*order((q or {}).get("sort"), self.schema, F.col(ROW)))
         return self.window(q).withColumn("ord", F.row_number().over(by).cast("long") - 1 + start)
 
+    def pages(self, q: dict | None = None) -> Pages:
+        """The view in order, kept for many windows, however deep."""
+        return Pages(self, q or {})
+
     def execute(self, q: dict | None = None) -> dict:
         return {"rows": self.window(q), "total": self.count(q)}
 
@@ -81,7 +114,20 @@ class Engine:
 
     # aggregates
     def aggregates(self, q: dict | None, aggs: list[dict]) -> DataFrame:
-        return self.matching(q).agg(*self._aggs(aggs))
+        """One row; quantiles are found by rank, at once, the others when the row is asked for."""
+        rows, ready = self.matching(q, ids=False), {}
+        by_col: dict[str, list] = {}
+        for a in aggs:
+            if levels := levels_of(a["fn"]) if self.schema[a["col"]].kind != "text" else ():
+                by_col.setdefault(a["col"], []).append((a["id"], levels))
+        for c, own in by_col.items():
+            wanted = sorted({p for _, levels in own for p in levels})
+            got = dict(zip(wanted, quantiles(rows, self.schema[c].num, wanted), strict=True))
+            for name, levels in own:
+                v = [got[p] for p in levels]
+                ready[name] = None if v[0] is None else v[-1] - v[0] if len(v) > 1 else v[0]
+        made = [F.first(F.lit(ready[a["id"]]).cast("double")).alias(a["id"]) if a["id"] in ready else self._aggs([a])[0] for a in aggs]
+        return rows.agg(*made)
 
     def _aggs(self, aggs: list[dict]) -> list[Column]:
         return [aggregate(self.schema[a["col"]] if a.get("col") else None, a["fn"]).alias(a["id"]) for a in aggs]
@@ -89,19 +135,20 @@ class Engine:
     def rollup(self, q: dict | None, by: list[str], aggs: list[dict]) -> DataFrame:
         """Every prefix level and the grand row: k0.., g0.. (1 where rolled up), level, the aggregates."""
         names = [f"k{i}" for i in range(len(by))]
-        rows = self.matching(q).select("*", *[self.schema[c].key.alias(n) for c, n in zip(by, names, strict=True)])
+        rows = self.matching(q, ids=False).select("*", *[self.schema[c].key.alias(n) for c, n in zip(by, names, strict=True)])
         flags = [F.grouping(n).cast("int").alias(f"g{i}") for i, n in enumerate(names)]
         level = (F.lit(len(by)) - reduce(operator.add, [F.grouping(n).cast("int") for n in names])).alias("level") if by else None
         if not by:
             return rows.agg(*self._aggs(aggs)).withColumn("level", F.lit(0))
         levels = rows.rollup(*names).agg(*flags, level, *self._aggs(aggs))
-        # Of no rows a rollup makes none, but the grand row is due.
-        kinds = dict(rows.select(*names).dtypes)
-        grand = rows.agg(*self._aggs(aggs)).select(*[F.lit(None).cast(kinds[n]).alias(n) for n in names], *[F.lit(1).alias(f"g{i}") for i in range(len(by))], F.lit(0).alias("level"), *[a["id"] for a in aggs])
-        return levels.where("level > 0").unionByName(grand)
+        # Of no rows a rollup makes none, but the grand row is due; the table is read again only then.
+        none = rows.limit(1).agg(F.count("*").alias("__n")).where("__n = 0")
+        kinds = dict(levels.dtypes)
+        grand = none.join(rows.agg(*self._aggs(aggs)), how="left").select(*[F.lit(None).cast(kinds[n]).alias(n) for n in names], *[F.lit(1).alias(f"g{i}") for i in range(len(by))], F.lit(0).alias("level"), *[a["id"] for a in aggs])
+        return levels.unionByName(grand)
 
     def distinct_values(self, col: str, q: dict | None = None) -> DataFrame:
-        return self.matching(q).groupBy(self.schema[col].key.alias("value")).agg(F.count("*").alias("n"))
+        return self.matching(q, ids=False).groupBy(self.schema[col].key.alias("value")).agg(F.count("*").alias("n"))
 
     def _path(self, q: dict) -> DataFrame:
         rows = self.matching(q)
@@ -123,7 +170,12 @@ class Engine:
         if len(opened) >= len(by):
             return rows.orderBy(*order(q.get("sort"), self.schema, F.col(ROW))).offset(start).limit(size)
         view, ids, by_key = self.schema[by[len(opened)]], {a["id"] for a in aggs}, []
-        groups = rows.groupBy(view.key.alias("key")).agg(F.count("*").alias("leafCount"), *self._aggs(aggs), F.min(ROW).alias("__first"))
+        sorted_by = [s["col"] for s in q.get("sort") or []]
+        # Only what the order needs is totalled for all groups, the rest for those of the page.
+        early = [a for a in aggs if a["id"] in sorted_by]
+        late = [a for a in aggs if a["id"] not in sorted_by]
+        counted = F.count("*").alias("leafCount"), F.min(ROW).alias("__first")
+        groups = rows.groupBy(view.key.alias("key")).agg(*counted, *self._aggs(early))
         key_view = type(view)("key", groups.schema["key"].dataType)
         for s in q.get("sort") or []:
             down = s.get("dir") == "desc"
@@ -132,8 +184,15 @@ class Engine:
             elif s["col"] == view.name:
                 by_key += keys(key_view, down, bool(s.get("nullsFirst")))
         by_key = [*(by_key or keys(key_view)), F.col("__first").asc()]
-        shown = groups.orderBy(*by_key).offset(start).limit(size)
-        return shown.withColumn("ord", F.row_number().over(Window.orderBy(*by_key)).cast("long") - 1 + start).drop("__first")
+        page = groups.orderBy(*by_key).offset(start).limit(size)
+        page = page.withColumn("ord", F.row_number().over(Window.orderBy(*by_key)).cast("long") - 1 + start).drop("__first")
+        if not late:
+            return page
+        page = F.broadcast(page) if size <= MOST_BROADCAST else page
+        there = rows.withColumn("__key", view.key).join(page.select(F.col("key").alias("__of")), F.col("__key").eqNullSafe(F.col("__of")), "left_semi")
+        totals = there.groupBy("__key").agg(*self._aggs(late))
+        both = page.join(totals, F.col("key").eqNullSafe(F.col("__key")))
+        return both.select("key", "leafCount", *[plain(a["id"]) for a in aggs], "ord")
 
     def group_totals(self, q: dict, aggs: list[dict]) -> DataFrame:
         """matchCount, groupCount and the grand totals under the opened path."""
@@ -145,44 +204,57 @@ class Engine:
         if not x or not y:
             raise ValueError("a chart needs x and y")
         keys_ = [self.schema[x].key.alias("x")] + ([self.schema[series].key.alias("series")] if series else [])
-        return self.matching(q).groupBy(*keys_).agg(aggregate(self.schema[y], fn).alias("y"))
+        return self.matching(q, ids=False).groupBy(*keys_).agg(aggregate(self.schema[y], fn).alias("y"))
 
     # facets and profile
     def facet(self, col: str, q: dict | None = None, bounds: list[dict] | None = None, buckets: int = 20, strategy: str = "equal", granularity: str | None = None) -> dict:
         """Bounds over all rows, counts under the filters."""
-        v, rows = self.schema[col], self.matching(q)
+        v, rows = self.schema[col], self.matching(q, ids=False)
         finite = F.when(F.abs(v.num) < float("inf"), v.num)
         if v.kind == "bool":
-            r = rows.agg(F.count_if(~v.raw).alias("f"), F.count_if(v.raw).alias("t"), F.count_if(v.missing).alias("e")).first()
-            out = [{"label": "false", "n": r["f"]}, {"label": "true", "n": r["t"]}]
-            return {"kind": "boolean", "buckets": out + ([{"label": "Empty", "empty": True, "n": r["e"]}] if r["e"] else [])}
-        if v.kind == "text":
-            return self._categories(v, rows, bounds)
-        made: dict = {"kind": "date" if v.kind == "datetime" else "numeric", "strategy": strategy}
-        if bounds:
-            edges = [b["lo"] for b in bounds if "lo" in b] + [[b["hi"] for b in bounds if "hi" in b][-1]]
+            made, edges = {"kind": "boolean"}, None
+            count = lambda some: self._booleans(v, some)
+        elif v.kind == "text":
+            made, edges = {"kind": "category"}, None
+            labels = self._labels(v) if bounds is None else bounds
+            if isinstance(labels, int):
+                return made | {"suppressed": True, "cardinality": labels, "buckets": []}
+            count = lambda some: self._categories(v, some, labels)
         else:
-            r = self.df.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi")).first()
-            if r["lo"] is None:
-                n = rows.count()
-                return made | {"empty": True, "buckets": [{"label": "Empty", "empty": True, "n": n}] if n else []}
-            if v.kind == "datetime":
-                import datetime as dt
-
-                lo, hi = (dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=x) for x in (r["lo"], r["hi"]))
-                made["granularity"] = granularity or facets.granularity(lo, hi, buckets)
-                edges = [moment(t) for t in facets.dates(lo, hi, made["granularity"])]
-            elif strategy == "quantile" and (sample := self._sample(finite)):
-                edges = facets.quantiles(sample, buckets)
+            made = {"kind": "date" if v.kind == "datetime" else "numeric", "strategy": strategy}
+            if bounds:
+                edges = [b["lo"] for b in bounds if "lo" in b] + [[b["hi"] for b in bounds if "hi" in b][-1]]
             else:
-                edges = (facets.logarithmic if strategy == "log" else facets.equal)(r["lo"], r["hi"], buckets)
-        return made | {"buckets": self._counted(rows, finite, edges, v.kind == "datetime")}
+                r = self.source.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi")).first()
+                if r["lo"] is None:
+                    n = rows.count()
+                    return made | {"empty": True, "buckets": [{"label": "Empty", "empty": True, "n": n}] if n else []}
+                if v.kind == "datetime":
+                    lo, hi = (dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=x) for x in (r["lo"], r["hi"]))
+                    made["granularity"] = granularity or facets.granularity(lo, hi, buckets)
+                    edges = [moment(t) for t in facets.dates(lo, hi, made["granularity"])]
+                elif strategy == "quantile" and (sample := self._sample(finite)):
+                    edges = facets.quantiles(sample, r["hi"], buckets)
+                else:
+                    edges = (facets.logarithmic if strategy == "log" else facets.equal)(r["lo"], r["hi"], buckets)
+            count = lambda some: self._counted(some, finite, edges, v.kind == "datetime")
+        made["buckets"] = count(rows)
+        if bounds is None:
+            made["unfiltered"] = [b["n"] for b in (made["buckets"] if self.predicate(q) is None else count(self.source))]
+        return made
+
+    @staticmethod
+    def _booleans(v, rows: DataFrame) -> list[dict]:
+        r = rows.agg(F.count_if(~v.raw).alias("f"), F.count_if(v.raw).alias("t"), F.count_if(v.missing).alias("e")).first()
+        out = [{"label": "false", "n": r["f"]}, {"label": "true", "n": r["t"]}]
+        return out + ([{"label": "Empty", "empty": True, "n": r["e"]}] if r["e"] else [])
 
     def _sample(self, x: Column) -> list[float]:
-        """At most 10,000 values, spread evenly over the positions."""
-        n = self.df.count()
-        step = max(1, -(-n // facets.SAMPLE))
-        return [r[0] for r in self.df.where((F.col(ROW) % step == 0) & x.isNotNull()).select(x).collect()]
+        """The values at 10,000 evenly spread positions, or at all of fewer."""
+        step = max(1.0, self.count() / facets.SAMPLE)
+        nth = F.ceil(F.col(ROW) / step)
+        picked = (F.floor(nth * step) == F.col(ROW)) & (nth < facets.SAMPLE) if step > 1 else F.lit(True)
+        return [r[0] for r in self.df.where(picked & x.isNotNull()).select(x).collect()]
 
     @staticmethod
     def _counted(rows: DataFrame, x: Column, edges: list[float], open_end: bool) -> list[dict]:
@@ -194,55 +266,60 @@ class Engine:
         out = [{"lo": a, "hi": b, "n": counts.get(i, 0)} for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
         return out + ([{"label": "Empty", "empty": True, "n": counts[-1]}] if counts.get(-1) else [])
 
-    def _categories(self, v, rows: DataFrame, bounds: list[dict] | None) -> dict:
+    def _labels(self, v) -> list[dict] | int:
+        """The texts of a column, the commonest first, or how many there are if too many."""
         shown = F.when(~v.blank, v.txt)
-        if bounds is None:
-            n = self.df.agg(F.count_distinct(shown)).first()[0]
-            if n > facets.MOST_CATEGORIES:
-                return {"kind": "category", "suppressed": True, "cardinality": n, "buckets": []}
-            top = self.df.where(~v.blank).groupBy(shown.alias("t")).agg(F.count("*").alias("n"), F.min(ROW).alias("first"))
-            bounds = [{"label": r["t"]} for r in top.orderBy(F.desc("n"), "first").collect()]
+        n = self.source.agg(F.count_distinct(shown)).first()[0]
+        if n > facets.MOST_CATEGORIES:
+            return n
+        top = self.df.where(~v.blank).groupBy(shown.alias("t")).agg(F.count("*").alias("n"), F.min(ROW).alias("first"))
+        return [{"label": r["t"]} for r in top.orderBy(F.desc("n"), "first").collect()]
+
+    @staticmethod
+    def _categories(v, rows: DataFrame, bounds: list[dict]) -> list[dict]:
         labels = [b["label"] for b in bounds if not b.get("remainder") and not b.get("empty")]
         place = F.when(v.blank, F.lit("e")).when(v.txt.isin(labels), F.concat(F.lit("="), v.txt)).otherwise(F.lit("r"))
         counts = {r["p"]: r["n"] for r in rows.groupBy(place.alias("p")).agg(F.count("*").alias("n")).collect()}
         out = [{**b, "n": counts.get("r", 0) if b.get("remainder") else counts.get("=" + b["label"], 0)} for b in bounds if not b.get("empty")]
-        return {"kind": "category", "buckets": out + ([{"label": "Empty", "empty": True, "n": counts["e"]}] if counts.get("e") else [])}
+        return out + ([{"label": "Empty", "empty": True, "n": counts["e"]}] if counts.get("e") else [])
 
-    def numeric_text(self, col: str) -> bool:
-        """Whether nine in ten of the first 200 present texts of the first 20,000 rows are numbers."""
+    def numeric_text(self, col: str, q: dict | None = None) -> bool:
+        """Whether nine in ten of the first 200 present texts of the view's first 20,000 rows are finite numbers."""
         v = self.schema[col]
-        first = self.df.orderBy(ROW).limit(20_000).where(~v.blank).orderBy(ROW).limit(200)
-        r = first.agg(F.count("*").alias("n"), F.count(v.num).alias("ok")).first()
+        first = self.matching(q).orderBy(ROW).limit(20_000).where(~v.blank).orderBy(ROW).limit(200)
+        r = first.agg(F.count("*").alias("n"), F.count_if(F.abs(v.num) < float("inf")).alias("ok")).first()
         return r["n"] > 0 and r["ok"] >= 0.9 * r["n"]
 
     def profile(self, col: str, q: dict | None = None, top: int = 5) -> dict:
-        v, rows = self.schema[col], self.matching(q)
-        numeric = v.kind in ("number", "bool", "datetime") or self.numeric_text(col)
-        x = F.when(F.abs(v.num) < float("inf"), v.num) if numeric else F.lit(None).cast("double")
+        """The statistics of a column: numeric ones of numbers, booleans and texts that are numbers; else the commonest values."""
+        v, rows = self.schema[col], self.matching(q, ids=False)
+        numbers = v.kind == "number" or (v.kind == "text" and self.numeric_text(col, q))
+        x = F.when(F.abs(v.num) < float("inf"), v.num) if numbers or v.kind == "bool" else F.lit(None).cast("double")
         one = v.num if v.kind in ("number", "bool") else v.txt
         r = rows.agg(
             F.count("*").alias("rows"), F.count_if(~v.blank).alias("present"), F.count_if(v.blank).alias("missing"), F.count(x).alias("numeric"),
-            F.count_distinct(F.when(~v.blank, one)).alias("distinct"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
-            F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_samp(x).alias("stddev"),
+            F.count_distinct(F.when(~v.blank, one)).alias("distinct"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"),
         ).first().asDict()
-        r["q1"], r["median"], r["q3"] = r.pop("q") or (None, None, None)
-        r["iqr"] = r["q3"] - r["q1"] if r["q1"] is not None else None
+        r |= dict(zip(("q1", "median", "q3"), quantiles(rows, x, [0.25, 0.5, 0.75], r["numeric"]), strict=True))
+        r |= {"iqr": None, "outliers": 0, "histogram": []}
         if r["numeric"]:
+            r["iqr"] = r["q3"] - r["q1"]
             low, high = r["q1"] - 1.5 * r["iqr"], r["q3"] + 1.5 * r["iqr"]
-            r["outliers"] = rows.agg(F.count_if((x < low) | (x > high))).first()[0]
-            r["histogram"] = self.histogram(x, rows, r)
-        if not numeric or v.kind in ("text", "bool"):
+            r["outliers"], r["histogram"] = self._histogram(x, rows, r, (x < low) | (x > high))
+        if not numbers:
             best = rows.where(~v.blank).groupBy(v.txt.alias("value")).agg(F.count("*").alias("n"))
             r["topValues"] = [{"value": t["value"], "n": t["n"], "share": t["n"] / r["present"]} for t in best.orderBy(F.desc("n"), "value").limit(top).collect()]
         return r
 
     @staticmethod
-    def histogram(x: Column, rows: DataFrame, r: dict) -> list[dict]:
-        edges = facets.histogram_edges(r["numeric"], r["min"], r["max"], r["q1"], r["q3"])
-        n, lo, step = len(edges) - 1, edges[0], (edges[-1] - edges[0]) / (len(edges) - 1)
-        at = F.least(F.greatest(F.floor((x - lo) / step), F.lit(0)), F.lit(n - 1))
-        counts = {c["at"]: c["n"] for c in rows.where(x.isNotNull()).groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect()}
-        return [{"lo": edges[i], "hi": edges[i + 1], "n": counts.get(i, 0)} for i in range(n)]
+    def _histogram(x: Column, rows: DataFrame, r: dict, outside: Column) -> tuple[int, list[dict]]:
+        """How many values lie outside, and the bins; the outer ones reach to the least and the greatest value."""
+        lo, step, n = facets.histogram_bins(r["numeric"], r["min"], r["max"], r["q1"], r["q3"])
+        at = F.least(F.greatest(F.floor((x - lo) / step), F.lit(0)), F.lit(n - 1)) if step > 0 else F.lit(0)
+        got = rows.where(x.isNotNull()).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.count_if(outside).alias("out")).collect()
+        counts = {c["at"]: c["n"] for c in got}
+        edges = [r["min"], *(lo + i * step for i in range(1, n)), r["max"]]
+        return sum(c["out"] for c in got), [{"lo": edges[i], "hi": edges[i + 1], "n": counts.get(i, 0)} for i in range(n)]
 
     # changes: each gives a new engine
     def _changed(self, df: DataFrame) -> Engine:
@@ -254,8 +331,12 @@ class Engine:
         """One row's cells, cast to their columns' types; what can't be cast and unknown columns are left."""
         if not self.editable:
             raise ReadOnly("the source is read-only")
-        row = F.col(ROW) == int(key)
-        new = {c: F.when(row, cast_edit(F.lit(None if v is None else str(v)), self.schema[c].type, self.schema[c].raw if v is not None else F.lit(None))).otherwise(self.schema[c].raw) for c, v in patch.items() if c in self.schema}
+        row, new = F.col(ROW) == int(key), {}
+        for c, v in patch.items():
+            if c in self.schema:
+                own = self.schema[c]
+                made = F.lit(None).cast(own.type) if v is None else cast_edit(F.lit(_edit_text(v, own.type)), own.type, own.raw)
+                new[c] = F.when(row, made).otherwise(own.raw)
         return self._changed(self.df.withColumns(new))
 
     def append(self, more: DataFrame) -> Engine:
@@ -272,24 +353,84 @@ class Engine:
         return self._changed(self.df.join(gone, ROW, "left_anti"))
 
     def replace(self, df: DataFrame) -> Engine:
+        """Other data, perhaps of other columns; a view's state is pruned to them by ``LazyView.over``."""
         return self._changed(df)
 
+    def mutate(self, request: dict) -> dict:
+        """Answers ``{kind: "update", key, patch}`` with the changed engine, or with the reason why not."""
+        if request.get("kind") != "update":
+            return {"ok": False, "reason": f"unknown change {request.get('kind')!r}"}
+        try:
+            return {"ok": True, "engine": self.edit(request["key"], request.get("patch") or {})}
+        except ReadOnly as e:
+            return {"ok": False, "reason": str(e)}
+        except (KeyError, TypeError, ValueError):
+            return {"ok": False, "reason": f"no row {request.get('key')!r}"}
+
     def view(self, state: dict | None = None) -> LazyView:
         return LazyView(self, state or {})
 
 
+class Pages:
+    """A view's rows in ranges of its order, persisted with their places; a window reads the ranges it lies in.
+
+    The rows are sorted once for any number of windows, and no task keeps all rows before a far one.
+    """
+
+    def __init__(self, engine: Engine, q: dict):
+        by = order(q.get("sort"), engine.schema, F.col(ROW))
+        ranged = engine.matching(q).repartitionByRange(*by).sortWithinPartitions(*by)
+        at = F.monotonically_increasing_id()
+        self.rows = ranged.withColumns({"__range": F.shiftright(at, 33), "__at": at.bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+        self.columns = [c for c in self.rows.columns if c not in ("__range", "__at")]
+        # one row a range
+        self.sizes = {r["__range"]: r["n"] for r in self.rows.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect()}
+
+    def __len__(self) -> int:
+        return sum(self.sizes.values())
+
+    def window(self, start: int, end: int) -> DataFrame:
+        """The rows from ``start`` to before ``end`` with their places, ``ord``, in order."""
+        at, wanted = 0, []
+        for k, n in self.sizes.items():
+            if at < end and at + n > start:
+                wanted.append((k, at))
+            at += n
+        place = F.lit(None).cast("long")
+        for k, first in wanted:
+            place = F.when(F.col("__range") == k, F.col("__at") + first).otherwise(place)
+        there = self.rows.where(F.col("__range").isin([k for k, _ in wanted]) if wanted else F.lit(False)).withColumn("ord", place)
+        return there.where((F.col("ord") >= start) & (F.col("ord") < end)).select(*map(plain, self.columns), "ord").orderBy("ord")
+
+    def close(self) -> None:
+        self.rows.unpersist()
+
+
+def _edit_text(v, t) -> str:
+    """An edit's value as text; values that are no text are read as Python reads them."""
+    if isinstance(v, str):
+        return v
+    if isinstance(t, BooleanType):
+        return str(bool(v)).lower()
+    if isinstance(t, IntegralType) and isinstance(v, float) and v == v and abs(v) < 2**63:
+        v = int(v)
+    return v.isoformat() if isinstance(v, dt.date) else str(int(v)) if isinstance(v, bool) and isinstance(t, NumericType) else str(v)
+
+
 def cast_edit(text: Column, t, otherwise: Column) -> Column:
-    """An edit's text as a column's type, or the old value where it can't be that."""
-    from veduta.functions.columns import kind_of
+    """An edit's text as a column's type, or the old value where it can't be that.
 
+    A time is milliseconds since 1970 or ISO text; one with an offset is that moment, shown in the session's zone.
+    """
     k, s = kind_of(t), F.lower(F.trim(text))
     if k == "bool":
-        return F.when(s.isin("true", "1", "yes", "t"), True).when(s.isin("false", "0", "no", "f"), False).otherwise(otherwise)
+        return F.when(text.isNotNull(), s.isin("true", "1", "yes", "t")).otherwise(otherwise)
     if k == "datetime":
-        made = F.when(s.rlike(r"^-?\d+(\.\d+)?$"), F.timestamp_millis(s.try_cast("double").cast("long"))).otherwise(F.try_to_timestamp(text))
+        number = s.rlike(r"^-?\d+(\.\d+)?([eE][+]?\d+)?$")
+        made = F.when(number, F.timestamp_millis(F.round(s.try_cast("double")).cast("long"))).otherwise(F.try_to_timestamp(text))
         return F.coalesce(made.cast(t), otherwise)
     if k == "number":
-        return F.coalesce(s.try_cast("double").try_cast(t), otherwise)
+        return F.coalesce(s.try_cast(t) if isinstance(t, IntegralType) else s.try_cast("double").try_cast(t), otherwise)
     return F.coalesce(text, otherwise).cast(t)
 
 
@@ -297,7 +438,11 @@ class LazyView:
     """Filters, search and sort over an engine; nothing runs before it is asked for."""
 
     def __init__(self, engine: Engine, state: dict):
-        self.engine, self.state = engine, state
+        self.engine, self.state = engine, prune_state(state, engine.schema)
+
+    def over(self, engine: Engine) -> LazyView:
+        """The same view of other data; what names absent columns is left out."""
+        return LazyView(engine, self.state)
 
     @property
     def columns(self) -> list[str]:

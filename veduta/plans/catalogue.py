@@ -322,12 +322,12 @@ def facet_log(spark, d):
     return _flat(spark, lines(spark, d).facet("l_extendedprice", strategy="log", buckets=10))
 
 
-@register("facet_quantile", f"""WITH c AS (SELECT greatest(1, CAST(ceil(count(*) / 10000.0) AS BIGINT)) AS step FROM lineitem),
-s AS (SELECT list_sort(list(l_extendedprice)) AS v FROM {LINES}, c WHERE rid % step = 0), i AS (SELECT unnest(range(0, 11)) AS i),
-k AS (SELECT i, v, (len(v) - 1) * i / 10.0 AS spot FROM s, i), e AS (SELECT i, v[CAST(floor(spot) AS BIGINT) + 1] + (spot - floor(spot)) * (v[least(CAST(floor(spot) AS BIGINT) + 2, len(v))] - v[CAST(floor(spot) AS BIGINT) + 1]) AS lo FROM k),
-p AS (SELECT i, lo, lead(lo) OVER (ORDER BY i) AS hi FROM e)
-SELECT CAST(i AS INT) AS bucket_ix, CAST(NULL AS VARCHAR) AS label, round(lo, 4) AS lo, round(hi, 4) AS hi, count(l_orderkey) AS n
-FROM p LEFT JOIN lineitem ON l_extendedprice >= lo AND (l_extendedprice < hi OR i = 9 AND l_extendedprice <= hi) WHERE i < 10 GROUP BY i, lo, hi""")
+@register("facet_quantile", f"""WITH c AS (SELECT count(*) AS n, max(l_extendedprice) AS top FROM lineitem), p AS (SELECT DISTINCT CAST(floor(i * greatest(1, n / 10000e0)) AS BIGINT) AS rid FROM c, (SELECT unnest(range(0, 10000)) AS i)),
+s AS (SELECT list_sort(list(l_extendedprice)) AS v FROM {LINES} JOIN p USING (rid)),
+e AS (SELECT min(i) AS i, lo FROM (SELECT i, v[least(len(v), CAST(floor(i / 10e0 * len(v)) AS BIGINT) + 1)] AS lo FROM s, (SELECT unnest(range(0, 10)) AS i)) GROUP BY lo),
+b AS (SELECT CAST(row_number() OVER (ORDER BY i) - 1 AS INT) AS bucket_ix, lo, lead(lo) OVER (ORDER BY i) AS next FROM e)
+SELECT bucket_ix, CAST(NULL AS VARCHAR) AS label, round(lo, 4) AS lo, round(coalesce(next, top), 4) AS hi, count(l_orderkey) AS n
+FROM b, c LEFT JOIN lineitem ON l_extendedprice >= lo AND (l_extendedprice < next OR next IS NULL) GROUP BY bucket_ix, lo, next, top""")
 def facet_quantile(spark, d):
     return _flat(spark, lines(spark, d).facet("l_extendedprice", strategy="quantile", buckets=10))
 
@@ -381,7 +381,7 @@ def _profiles():
         sql = f"""WITH s AS (SELECT *, {number} AS x FROM {src}), q AS (SELECT count(*) AS rows, count({c}) AS present, count(*) - count({c}) AS missing, count(x) AS numeric, count(DISTINCT {distinct}) AS "distinct",
 min(x) AS "min", max(x) AS "max", avg(x) AS mean, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, stddev_samp(x) AS stddev FROM s),
 o AS (SELECT count(*) AS outliers FROM s, q WHERE x < q1 - 1.5 * iqr OR x > q3 + 1.5 * iqr)
-""" + " UNION ALL ".join(f"SELECT '{k}' AS stat, round(CAST(\"{k}\" AS DOUBLE), 3) AS value FROM q" for k in numbers) + " UNION ALL SELECT 'outliers', round(CAST(CASE WHEN numeric > 0 THEN outliers END AS DOUBLE), 3) FROM o, q"
+""" + " UNION ALL ".join(f"SELECT '{k}' AS stat, round(CAST(\"{k}\" AS DOUBLE), 3) AS value FROM q" for k in numbers) + " UNION ALL SELECT 'outliers', round(CAST(CASE WHEN numeric > 0 THEN outliers ELSE 0 END AS DOUBLE), 3) FROM o, q"
 
         @register(name, sql)
         def run(spark, d):
@@ -391,7 +391,7 @@ o AS (SELECT count(*) AS outliers FROM s, q WHERE x < q1 - 1.5 * iqr OR x > q3 +
     one("profile_numeric", "lineitem", "l_extendedprice", "l_extendedprice", "l_extendedprice")
     one("profile_nulls", "orders", "price", "price", "price", orders, ORDERS)
     one("profile_text", "part", "p_name", "CAST(NULL AS DOUBLE)", "p_name")
-    one("profile_datetime", "events", "ts", "epoch_us(ts) / 1000.0", "ts")
+    one("profile_datetime", "events", "ts", "CAST(NULL AS DOUBLE)", "ts")
 
 
 _profiles()
@@ -404,10 +404,11 @@ def outliers(spark, d):
 
 @register("histogram_fd", """WITH q AS (SELECT count(l_extendedprice) AS n, min(l_extendedprice) AS mn, max(l_extendedprice) AS mx, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem),
 f AS (SELECT *, greatest(mn, q1 - 1.5 * (q3 - q1)) AS lo, least(mx, q3 + 1.5 * (q3 - q1)) AS hi FROM q), b AS (SELECT *, least(20, CAST(ceil((hi - lo) / (2 * (q3 - q1) / pow(n, 1.0 / 3))) AS INT)) AS bins FROM f)
-SELECT CAST(least(greatest(floor((l_extendedprice - lo) / ((hi - lo) / bins)), 0), bins - 1) AS INT) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1""")
+SELECT CAST(least(greatest(floor((l_extendedprice - lo) / ((hi - lo) / bins)), 0), bins - 1) AS INT) AS bin, count(*) AS n,
+round(CASE WHEN bin = 0 THEN min(mn) ELSE min(lo + bin * ((hi - lo) / bins)) END, 4) AS lo, round(CASE WHEN bin = min(bins) - 1 THEN min(mx) ELSE min(lo + (bin + 1) * ((hi - lo) / bins)) END, 4) AS hi FROM lineitem, b GROUP BY 1""")
 def histogram_fd(spark, d):
     h = lines(spark, d).profile("l_extendedprice")["histogram"]
-    return spark.createDataFrame([(i, int(b["n"])) for i, b in enumerate(h) if b["n"]], "bin int, n long")
+    return spark.createDataFrame([(i, int(b["n"]), round(b["lo"], 4), round(b["hi"], 4)) for i, b in enumerate(h) if b["n"]], "bin int, n long, lo double, hi double")
 
 
 @register("top_values", "SELECT p_type AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
@@ -499,7 +500,7 @@ def _router():
     def conversation(spark, d, spread):
         df = read(spark, d, "conversations")
         parents = df.where("turn = 0").select("conv_id", F.col("role").alias("first_role"))
-        return Router({"conv": {"df": parents, "key": "conv_id", "join": [{"from": "turns", "local_key": "conv_id", "foreign_key": "conv_id", "spread": spread}]}, "turns": {"df": df, "key": "turn"}}).shaped("conv")
+        return Router({"conv": {"df": parents, "key": "conv_id", "join": [{"from": "turns", "local_key": "conv_id", "foreign_key": "conv_id", "spread": spread}]}, "turns": {"df": df.withColumn("turn_id", F.concat_ws(":", "conv_id", "turn")), "key": "turn_id"}}).shaped("conv")
 
     @register("spread_basic", f"SELECT conv_id, arg_max(text, turn) FILTER (role = 'assistant') AS assistant, arg_max(text, turn) FILTER (role = 'user') AS user_text FROM {talks} WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0) GROUP BY 1")
     def spread_basic(spark, d):
@@ -510,24 +511,71 @@ def _router():
         out = conversation(spark, d, {"name": "role", "value": "turn", "prefix": "last_", "include": ["user", "system"], "type": {"user": "number"}})
         return out.select("conv_id", F.col("last_user").cast("double").alias("last_user"), "last_system")
 
-    def nested(df):
-        acc = df.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_extendedprice", "l_partkey", "l_quantity"))).alias("items"))
-        return Router({"acc": {"df": acc.withColumn(ROW, F.col("l_orderkey")), "key": "l_orderkey", "unnest": [{"path": "items", "as": "item", "parentKey": "order_id"}]}}, {"items": "acc.item", "acc": "acc"})
-
-    # Over the first orders, and over every order.
-    for suffix, where in (("", " WHERE l_orderkey < 50"), ("_all", "")):
-
-        def some(spark, d, where=where):
-            df = read(spark, d, "lineitem")
-            return nested(df.where(where.removeprefix(" WHERE ")) if where else df)
-
-        @register(f"unnest{suffix}", f"SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_orderkey || ':' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_quantity) - 1) AS key, l_partkey, l_quantity FROM lineitem{where}")
-        def unnest(spark, d, some=some):
-            return some(spark, d).shaped("items").select("order_id", "key", "l_partkey", "l_quantity")
-
-        @register(f"unnest_parent{suffix}", f"SELECT DISTINCT l_orderkey FROM lineitem{where}")
-        def unnest_parent(spark, d, some=some):
-            return some(spark, d).shaped("acc")
+    def accounts(spark, d, **unnest):
+        """Every order with its items as a list, in the order of their values."""
+        acc = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_extendedprice", "l_partkey", "l_quantity"))).alias("items"))
+        declared = {"path": "items", "as": "item"} | unnest
+        parts = {"df": read(spark, d, "part"), "key": "p_partkey"}
+        return Router({"acc": {"df": acc.withColumn(ROW, F.col("l_orderkey")), "key": "l_orderkey", "unnest": declared}, "part": parts}, {"items": "item", "acc": "acc"})
+
+    place = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_partkey, l_quantity) - 1"
+    items = "FROM lineitem"
+
+    for name, key in (("unnest", "accId"), ("unnest_all", "order_id")):
+
+        @register(name, f"SELECT 'acc:' || l_orderkey AS {key}, 'acc:' || l_orderkey || ':' || ({place}) AS row_id, l_partkey, l_quantity {items}")
+        def unnest(spark, d, name=name, key=key):
+            router = accounts(spark, d, **({} if name == "unnest" else {"parentKey": key}))
+            return router.frame("item").orderBy("__pos").select(key, F.col("__id").alias("row_id"), "l_partkey", "l_quantity")
+
+    @register("unnest_parent_all", "SELECT DISTINCT l_orderkey FROM lineitem")
+    def unnest_parent_all(spark, d):
+        return accounts(spark, d).shaped("acc")
+
+    @register("unnest_parent", "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1")
+    def unnest_parent(spark, d):
+        return accounts(spark, d, keep=True).shaped("acc").select("l_orderkey", F.size("items").cast("long").alias("n"))
+
+    @register("unnest_join", "SELECT 'acc:' || l_orderkey AS accId, l_partkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey")
+    def unnest_join(spark, d):
+        join = {"from": "part", "local_key": "l_partkey", "foreign_key": "p_partkey", "fields": ["p_brand"], "missing": "hold"}
+        return accounts(spark, d, join=join).shaped("items").select("accId", "l_partkey", "p_brand")
+
+    @register("unnest_nested", "SELECT 'region:' || n_regionkey || ':' || (dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS nationId, 'region:' || n_regionkey || ':' || (dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) || ':' || (row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1) AS row_id, s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey")
+    def unnest_nested(spark, d):
+        suppliers = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey"))).alias("suppliers"))
+        nations = read(spark, d, "nation").join(suppliers, F.col("n_nationkey") == F.col("s_nationkey"))
+        tree = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "suppliers"))).alias("nations"))
+        declared = {"path": "nations", "as": "nation", "unnest": {"path": "suppliers", "as": "supplier"}}
+        out = Router({"region": {"df": tree.withColumn(ROW, F.col("n_regionkey").cast("long")), "key": "n_regionkey", "unnest": declared}}).frame("supplier")
+        return out.select("nationId", F.col("__id").alias("row_id"), "s_suppkey")
+
+    @register("unnest_children", "SELECT l_orderkey, count(*) AS n_items, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1")
+    def unnest_children(spark, d):
+        acc = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity")).alias("items"))
+        up = {"from": "item", "many": True, "foreign_key": "accId", "aggregate": {"n_items": {"fn": "count"}, "quantity": {"fn": "sum", "field": "l_quantity"}}}
+        first = {"acc": {"df": acc.withColumn(ROW, F.col("l_orderkey")), "key": "l_orderkey", "join": up, "unnest": {"path": "items", "as": "item"}}}
+        return Router(first).shaped("acc").select("l_orderkey", "n_items", F.round("quantity", 2).alias("quantity"))
+
+    @register("spread_over_join", "SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'system'), 'old') AS system FROM conversations GROUP BY 1 HAVING min(turn) = 0")
+    def spread_over_join(spark, d):
+        df = read(spark, d, "conversations")
+        parents = df.where("turn = 0").select("conv_id")
+        olds = parents.select("conv_id", F.lit("old").alias("system"))
+        turns = df.withColumn("turn_id", F.concat_ws(":", "conv_id", "turn")).withColumn(ROW, F.col("turn"))
+        joins = [{"from": "olds", "on": "conv_id", "fields": ["system"]}, {"from": "turns", "on": "conv_id", "spread": {"name": "role", "value": "text"}}]
+        return Router({"conv": {"df": parents, "key": "conv_id", "join": joins}, "olds": {"df": olds, "key": "conv_id"}, "turns": {"df": turns, "key": "turn_id"}}).shaped("conv").select("conv_id", "system")
+
+    @register("join_unknown_source", "SELECT r_regionkey, 0 AS n FROM region")
+    def join_unknown_source(spark, d):
+        join = {"from": "absent", "many": True, "on": "r_regionkey", "aggregate": {"n": {"fn": "count"}}}
+        return shop(spark, d, region={"join": join}).shaped("region").select("r_regionkey", "n")
+
+    @register("shaped_typed", "SELECT e.event_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, round(value, 6) AS amount FROM events e")
+    def shaped_typed(spark, d):
+        df = read(spark, d, "events").select("event_id", F.date_format("ts", "dd/MM/yyyy").alias("day"), F.round("value", 6).cast("string").alias("amount"))
+        spec = {"df": df, "key": "event_id", "fields": {"day": {"type": "date", "format": "dd/MM/yyyy"}}}
+        return Router({"e": spec}).typed("e")
 
     def coercion(name, make, spec, sql, table="orders", key="o_orderkey"):
         @register(name, f"SELECT {key}, {sql} AS v FROM {table}")
@@ -568,6 +616,24 @@ def edit_cell(spark, d):
     return Engine(read(spark, d, "nation")).edit(4, {"n_name": "Atlantis", "n_regionkey": "2", "absent": 1}).df.select("n_nationkey", "n_name", "n_regionkey")
 
 
+@register("filter_and_quick", f"SELECT o_orderkey FROM {ORDERS} WHERE price > 100000 AND (contains(lower(note), 'low') OR contains(lower(o_orderpriority), 'low'))")
+def filter_and_quick(spark, d):
+    rows = orders(spark, d).df.select("o_orderkey", "price", "note", "o_orderpriority", ROW)
+    return Engine(rows).matching({"filters": {"col": "price", "op": "gt", "value": 100000}, "quick": "LOW"}).select("o_orderkey")
+
+
+@register("window_pages", f"SELECT l_orderkey, l_shipdate, rid AS row_id, ord FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate DESC, rid) - 1 AS ord FROM {LINES}) WHERE ord >= 2500 AND ord < 2600")
+def window_pages(spark, d):
+    pages = lines(spark, d).pages({"sort": [{"col": "l_shipdate", "dir": "desc"}]})
+    return pages.window(2500, 2600).select("l_orderkey", "l_shipdate", F.col(ROW).alias("row_id"), "ord")
+
+
+@register("group_page_totals", "SELECT l_partkey AS key, count(*) AS leafCount, round(quantile_cont(l_extendedprice, 0.5), 4) AS mid, row_number() OVER (ORDER BY l_partkey) - 1 + 5 AS ord FROM lineitem WHERE l_partkey IN (SELECT DISTINCT l_partkey FROM lineitem ORDER BY 1 LIMIT 20 OFFSET 5) GROUP BY 1")
+def group_page_totals(spark, d):
+    q = {"groupBy": ["l_partkey"], "range": {"start": 5, "end": 25}}
+    return lines(spark, d).group_level(q, _AGG[2:]).withColumn("mid", F.round("mid", 4))
+
+
 @register("keyed_diff", "SELECT CAST(s_suppkey AS VARCHAR) AS key, CASE WHEN s_suppkey % 10 = 0 THEN 'removed' ELSE 'updated' END AS change FROM supplier WHERE s_suppkey % 10 IN (0, 1) UNION ALL SELECT CAST(s_suppkey + 100000 AS VARCHAR), 'added' FROM supplier WHERE s_suppkey % 10 = 2")
 def diff(spark, d):
     old = read(spark, d, "supplier")

@@ -7,10 +7,11 @@ first, because negative operators match missing rows.
 from __future__ import annotations
 
 import operator
-import re
 from functools import reduce
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veduta.functions.columns import Schema, View
@@ -18,7 +19,6 @@ from veduta.functions.columns import Schema, View
 OPERATORS = ("eq", "ne", "gt", "gte", "lt", "lte", "between", "notBetween", "in", "notIn", "contains", "notContains", "startsWith", "endsWith", "matches", "blank", "notBlank")
 _COMPARE = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
 _NEGATIVE = {"ne": "eq", "notBetween": "between", "notIn": "in", "notContains": "contains", "notBlank": "blank"}
-YES, NO = F.lit, F.lit
 
 
 def _not(p: Column) -> Column:
@@ -35,6 +35,16 @@ def _string(v) -> str:
     return str(v)
 
 
+def java_pattern(pattern: str, case: bool = True) -> str | None:
+    """The pattern as the JVM takes it, or None where it takes none; named groups may be written ``(?P<name>``."""
+    pattern = ("" if case else "(?i)") + pattern.replace("(?P<", "(?<")
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):  # a syntax error, in either spelling of a JVM exception
+        return None
+    return pattern
+
+
 def leaf(v: View, op: str, value=None, case: bool = False, bounds: str = "[]") -> Column:
     if op not in OPERATORS:
         raise ValueError(f"unknown operator {op!r}")
@@ -50,39 +60,35 @@ def leaf(v: View, op: str, value=None, case: bool = False, bounds: str = "[]") -
             return v.missing
         if ordered:
             x = v.operand(value)
-            return F.lit(False) if x is None else v.num == F.lit(x)
+            return F.lit(False) if x is None else v.compared("eq", x)
         return text == fold(_string(value))
     if op == "in":
         items = list(value) if isinstance(value, (list, tuple, set)) else [value]
         present = [x for x in items if x is not None]
         if ordered:
             numbers = [x for x in map(v.operand, present) if x is not None]
-            out = v.num.isin(numbers) if numbers else F.lit(False)
+            out = v.among(numbers) if numbers else F.lit(False)
         else:
             out = text.isin([fold(_string(x)) for x in present]) if present else F.lit(False)
         return F.coalesce(out, F.lit(False)) | v.missing if len(present) < len(items) else out
     if op in _COMPARE:
         if ordered:
             x = v.operand(value)
-            return F.lit(False) if x is None else _COMPARE[op](v.num, F.lit(x))
+            return F.lit(False) if x is None else v.compared(op, x)
         return F.lit(False) if value is None else _COMPARE[op](F.lower(v.txt), F.lit(_string(value).lower()))
     if op == "between":
         lo, hi = value if isinstance(value, (list, tuple)) and len(value) == 2 else (value, value)
+        lower, upper = "gte" if bounds[0] == "[" else "gt", "lte" if bounds[-1] == "]" else "lt"
         if ordered:
-            lo, hi, x = v.operand(lo), v.operand(hi), v.num
-        else:
-            lo, hi, x = (None if y is None else _string(y).lower() for y in (lo, hi)), None, F.lower(v.txt)
-            lo, hi = lo
+            lo, hi = v.operand(lo), v.operand(hi)
+            return F.lit(False) if lo is None or hi is None else v.compared(lower, lo) & v.compared(upper, hi)
         if lo is None or hi is None:
             return F.lit(False)
-        return (x >= F.lit(lo) if bounds[0] == "[" else x > F.lit(lo)) & (x <= F.lit(hi) if bounds[-1] == "]" else x < F.lit(hi))
+        x = F.lower(v.txt)
+        return _COMPARE[lower](x, F.lit(_string(lo).lower())) & _COMPARE[upper](x, F.lit(_string(hi).lower()))
     if op == "matches":
-        pattern = _string(value)
-        try:
-            re.compile(pattern)
-        except re.error:
-            return F.lit(False)
-        return v.txt.rlike(pattern if case else f"(?i){pattern}")
+        pattern = java_pattern(_string(value), case)
+        return F.lit(False) if pattern is None else v.txt.rlike(pattern)
     needle = F.lit(fold(_string(value)))
     return {"contains": F.contains, "startsWith": F.startswith, "endsWith": F.endswith}[op](text, needle)
 
