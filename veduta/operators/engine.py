@@ -24,6 +24,8 @@ from veduta.plans.predicates import compiled, leaf, prune_state, quick
 from veduta.sources.tables import ROW, with_row_id
 
 PAGE, COUNTS = 100, 64
+#: Edges that a value is compared with one by one, in generated code.
+MOST_COMPARED = 64
 #: Groups of a page that is broadcast.
 MOST_BROADCAST = 10_000
 
@@ -141,10 +143,10 @@ class Engine:
         if not by:
             return rows.agg(*self._aggs(aggs)).withColumn("level", F.lit(0))
         levels = rows.rollup(*names).agg(*flags, level, *self._aggs(aggs))
-        # Of no rows a rollup makes none, but the grand row is due; the table is read again only then.
+        # Of no rows a rollup makes none, but the grand row is due: what the aggregates make of nothing.
         none = rows.limit(1).agg(F.count("*").alias("__n")).where("__n = 0")
         kinds = dict(levels.dtypes)
-        grand = none.join(rows.agg(*self._aggs(aggs)), how="left").select(*[F.lit(None).cast(kinds[n]).alias(n) for n in names], *[F.lit(1).alias(f"g{i}") for i in range(len(by))], F.lit(0).alias("level"), *[a["id"] for a in aggs])
+        grand = none.join(F.broadcast(rows.limit(0).agg(*self._aggs(aggs))), how="left").select(*[F.lit(None).cast(kinds[n]).alias(n) for n in names], *[F.lit(1).alias(f"g{i}") for i in range(len(by))], F.lit(0).alias("level"), *[a["id"] for a in aggs])
         return levels.unionByName(grand)
 
     def distinct_values(self, col: str, q: dict | None = None) -> DataFrame:
@@ -237,7 +239,9 @@ class Engine:
                     edges = facets.quantiles(sample, r["hi"], buckets)
                 else:
                     edges = (facets.logarithmic if strategy == "log" else facets.equal)(r["lo"], r["hi"], buckets)
-            count = lambda some: self._counted(some, finite, edges, v.kind == "datetime")
+            of_calendar = "granularity" in made
+            trunc = F.unix_millis(F.date_trunc(made["granularity"], v.raw.cast("timestamp"))) if of_calendar else None
+            count = lambda some: self._counted(some, finite, edges, v.kind == "datetime", trunc)
         made["buckets"] = count(rows)
         if bounds is None:
             made["unfiltered"] = [b["n"] for b in (made["buckets"] if self.predicate(q) is None else count(self.source))]
@@ -257,14 +261,26 @@ class Engine:
         return [r[0] for r in self.df.where(picked & x.isNotNull()).select(x).collect()]
 
     @staticmethod
-    def _counted(rows: DataFrame, x: Column, edges: list[float], open_end: bool) -> list[dict]:
-        """Half-open buckets, the last closed unless ``open_end``; one aggregation whose size is that of the edges."""
+    def _counted(rows: DataFrame, x: Column, edges: list[float], open_end: bool, trunc: Column | None = None) -> list[dict]:
+        """Half-open buckets, the last closed unless ``open_end``; one aggregation whose size is that of the edges.
+
+        ``trunc`` is the edge that a value lies behind, where edges are those of a calendar.
+        """
         last = len(edges) - 2
-        at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= x)) - 1
-        at = F.when(x.isNull(), -1).when(~F.lit(open_end) & (x == F.lit(float(edges[-1]))), last).when((at < 0) | (at > last), -2).otherwise(at)
-        counts = {r["at"]: r["n"] for r in rows.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect()}
+        if trunc is not None:
+            at, place = trunc, {e: i for i, e in enumerate(edges[:-1])}
+        elif len(edges) <= MOST_COMPARED:
+            at, place = reduce(operator.add, [(x >= F.lit(float(e))).cast("int") for e in edges]) - 1, None
+        else:
+            at, place = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= x)) - 1, None
+        if not open_end:
+            at = F.when(x == F.lit(float(edges[-1])), last).otherwise(at)
+        counts: dict = {}
+        for r in rows.groupBy(F.when(x.isNotNull(), at).alias("at")).agg(F.count("*").alias("n")).collect():
+            i = None if r["at"] is None else r["at"] if place is None else place.get(float(r["at"]), -1)
+            counts[i] = counts.get(i, 0) + r["n"]
         out = [{"lo": a, "hi": b, "n": counts.get(i, 0)} for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-        return out + ([{"label": "Empty", "empty": True, "n": counts[-1]}] if counts.get(-1) else [])
+        return out + ([{"label": "Empty", "empty": True, "n": counts[None]}] if counts.get(None) else [])
 
     def _labels(self, v) -> list[dict] | int:
         """The texts of a column, the commonest first, or how many there are if too many."""

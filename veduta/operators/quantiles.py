@@ -29,7 +29,7 @@ def ranked(rows: DataFrame, x: Column, ranks: list[int], n: int, fetched: int =
             p, off = (r - below) / max(1, size - 1), 2 / _ACCURACY
             marks.setdefault((lo, hi), set()).update((max(0.0, p - off), min(1.0, p + off)))
         spans = {k: sorted(v) for k, v in marks.items()}
-        got = values.agg(*[F.percentile_approx(_inside(F.col("x"), *k), [F.lit(p) for p in ps], _ACCURACY) for k, ps in spans.items()]).first()
+        got = values.agg(*[F.percentile_approx(_inside(F.col("x"), *k), ps, _ACCURACY) for k, ps in spans.items()]).first()
         found = {k: dict(zip(ps, got[i], strict=True)) for i, (k, ps) in enumerate(spans.items())}
         pieces = {}
         for r in open_:

@@ -481,7 +481,7 @@ def _router():
 
     rolled("router_count", "count", "count(o_orderkey)")
     rolled("router_sum", "sum", "round(coalesce(sum(o_totalprice), 0.0), 2)", 2, field="o_totalprice")
-    rolled("router_avg", "avg", "round(avg(o_totalprice), 2)", 2, field="o_totalprice")
+    rolled("router_avg", "avg", "round(avg(o_totalprice), 7)", 7, field="o_totalprice")  # at fewer digits halves would go either way
     rolled("router_min", "min", "min(o_totalprice)", field="o_totalprice")
     rolled("router_max_text", "max", "max(o_orderpriority)", field="o_orderpriority")
     rolled("router_distinct", "distinctCount", "CASE WHEN count(o_orderkey) > 0 THEN count(DISTINCT o_orderstatus) END", field="o_orderstatus")
