@@ -36,8 +36,8 @@ def follow(stream: DataFrame, table: DataFrame, key: str, apply: Callable[[DataF
     held = [table]
 
     def batch(rows: DataFrame, _: int) -> None:
-        at = F.struct(F.monotonically_increasing_id())
-        last = rows.groupBy(plain(key).alias("__key")).agg(F.max_by(F.struct(*map(plain, table.columns)), at).alias("__row"))
+        placed = rows.select(F.struct(*map(plain, table.columns)).alias("__row"), plain(key).alias("__key"), F.monotonically_increasing_id().alias("__at"))
+        last = placed.groupBy("__key").agg(F.max_by("__row", "__at").alias("__row"))
         held[0] = upsert(held[0], last.select("__row.*"), key)
         apply(held[0])
 
