@@ -82,3 +82,54 @@ def repeats(rows, window=50):
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def _hash(key, *values):
+    """What the SQL function xxhash64 makes of a string, an int, a string and a long."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v, kind in zip((key, *values), ("s", "<i", "s", "<q"), strict=True):
+        data = v.encode() if kind == "s" else struct.pack(kind, v)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def feistel(x, m, n, label, key, rounds=8):
+    """A permutation of the numbers below m * n."""
+    a, b = divmod(x, n)
+    for r in range(1, rounds + 1):
+        a, b, m, n = b, (a + _hash(key, r, label, b) % m) % m, n, m
+    return a * n + b
+
+
+def _blocks(s, size, alphabet, label, key):
+    out = ""
+    for i in range(0, len(s), size):
+        part, base = s[i : i + size], len(alphabet)
+        k, value = len(part), 0
+        for c in part:
+            value = value * base + alphabet.index(c)
+        v = feistel(value, base ** (k // 2), base ** (k - k // 2), f"{label} {k} {i // size}", key)
+        digits = ""
+        for _ in part:
+            v, d = divmod(v, base)
+            digits = alphabet[d] + digits
+        out += digits
+    return out
+
+
+def permuted(s, label, key):
+    """Digits, small and capital letters each permuted among themselves."""
+    for alphabet, size in (("0123456789", 16), ("abcdefghijklmnopqrstuvwxyz", 6), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 6)):
+        form = re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", s)))
+        new = iter(_blocks("".join(c for c in s if c in alphabet), size, alphabet, f"{label} {form}", key))
+        s = "".join(next(new) if c in alphabet else c for c in s)
+    return s
+
+
+def hexed(s, key):
+    out = _blocks(s.lower(), 12, "0123456789abcdef", "hex", key)
+    return out.upper() if s == s.upper() and not s.isdigit() else out

@@ -158,13 +158,16 @@ def test_temperature_calibrates():
     assert abs(language.temperature(true * 5, labels) - 5) < 0.6
 
 
+KEY = "a key"
+
+
 def luhn_ok(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
 
 
 def replaced(spark, rows):
-    return {r.doc_id: r for r in private.pseudonymised(brute.documents(spark, rows)).collect()}
+    return {r.doc_id: r for r in private.pseudonymised(brute.documents(spark, rows), KEY).collect()}
 
 
 def test_pseudonyms_keep_format_and_links(spark):
@@ -192,7 +195,72 @@ def test_pseudonyms_are_a_permutation(spark):
 
 
 def test_pseudonyms_odd_rows(spark):
-    docs = brute.documents(spark, ODD, extra=True)
-    got = private.pseudonymised(docs)
-    assert got.columns == [*docs.columns, "n_private"] and got.count() == len(ODD)
-    assert private.pseudonymised(docs.limit(0)).count() == 0
+    docs = brute.documents(spark, [*ODD, (9, "x " * 200_000 + "219-09-9999")], extra=True)
+    docs = docs.withColumns({"n_private": docs.doc_id, "__found": docs.doc_id, "__new": docs.doc_id, "a.b": docs.doc_id})
+    got = private.pseudonymised(docs, KEY)
+    assert got.columns == [*[c for c in docs.columns if c != "n_private"], "n_private"] and got.count() == len(ODD) + 1
+    assert got.where("__found <=> doc_id AND __new <=> doc_id AND `a.b` <=> doc_id").count() == len(ODD) + 1
+    long = got.where("doc_id = 9").first()
+    assert long.n_private == 1 and len(long.text) == 400_011
+    assert private.pseudonymised(docs.limit(0), KEY).count() == 0
+
+
+def test_pseudonyms_need_a_key(spark):
+    docs = brute.documents(spark, [(1, "219-09-9999")])
+    with pytest.raises(ValueError, match="no key"):
+        private.pseudonymised(docs)
+    spark.conf.set(private.KEY_SETTING, KEY)
+    try:
+        assert private.pseudonymised(docs).first().text == replaced(spark, [(1, "219-09-9999")])[1].text
+    finally:
+        spark.conf.unset(private.KEY_SETTING)
+    assert private.pseudonymised(docs, "other").first().text != private.pseudonymised(docs, KEY).first().text
+
+
+def shape(s):
+    import re
+
+    return re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", s)))
+
+
+def test_pseudonyms_against_plain_feistel(spark):
+    """Secrets, hosts, numbers and tokens as a plain version of the network gives them; one-to-one, in their shape."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    small, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+    secrets = list(dict.fromkeys(some(small + small.upper() + "0123456789@@.-_#é", rng.randrange(4, 30)) for _ in range(600)))
+    secrets = [x for x in secrets if not re.search(private.EMAIL, x)]
+    secrets += ["ab@cdef", "ab@zzzz9", "hello@wor-ld.x1", "aaaa", "aaab", "@@@@", "12@4"]
+    rows = [(i, f"password={x} end") for i, x in enumerate(secrets)]
+    got = {x: r.text.removeprefix("password=").removesuffix(" end") for x, r in zip(secrets, [v for _, v in sorted(replaced(spark, rows).items())], strict=True)}
+    assert len(set(got.values())) == len(got) and all(shape(a) == shape(b) for a, b in got.items())
+    assert got == {x: brute.permuted(x, "secret", KEY) for x in secrets}
+    tokens = [some(hexa, rng.randrange(32, 65)) for _ in range(100)]
+    tokens += [x.upper() for x in tokens if not x.isdigit()]
+    got = [r.text[1:-1] for _, r in sorted(replaced(spark, [(i, f"'{x}'") for i, x in enumerate(tokens)]).items())]
+    assert got == [brute.hexed(x, KEY) for x in tokens] and len(set(got)) == len(got)
+    hosts = [f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(200)]
+    got = [r.text for _, r in sorted(replaced(spark, list(enumerate(hosts))).items())]
+    value = lambda h: sum(int(x) << s for x, s in zip(h.split("."), (24, 16, 8, 0), strict=True))
+    assert [value(x) for x in got] == [brute.feistel(value(h), 65536, 65536, "host", KEY) for h in hosts]
+    numbers = [f"{rng.randrange(1, 600):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}" for _ in range(200)]
+    got = [r.text for _, r in sorted(replaced(spark, list(enumerate(numbers))).items())]
+    assert [x.replace("-", "")[3:] for x in got if x[:3] != "666"] == [f"{brute.feistel(int(n.replace('-', '')[3:]), 1000, 1000, 'ssn ' + n[:3], KEY):06}" for n in numbers if n[:3] != "666"]
+
+
+def test_pseudonyms_of_further_forms(spark):
+    import datetime
+    import re
+
+    token = "0123456789ABCDEF" * 2
+    rows = [(1, "at 2024-01-15T10:00:00Z"), (2, f'"{token}"'), (3, "4000 0000 0000 0000 006 and 4111 1111 1111 1111 12 apples"), (4, "4111-1111-1111-1111"), (5, "2024-01-15Tea")]
+    got = {i: r.text for i, r in replaced(spark, rows).items()}
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\dT10:00:00Z", got[1]) and got[1] != rows[0][1]
+    datetime.date.fromisoformat(got[1][3:13])
+    assert re.fullmatch(r'"[0-9A-F]{32}"', got[2]) and token not in got[2]
+    m = re.fullmatch(r"(\d{4} \d{4} \d{4} \d{4} \d{3}) and (\d{4} \d{4} \d{4} \d{4}) 12 apples", got[3])
+    assert m and luhn_ok(m[2]) and m[2] != "4111 1111 1111 1111"
+    assert luhn_ok(got[4]) and got[4] != rows[3][1] and got[5] == rows[4][1]

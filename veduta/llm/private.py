@@ -1,9 +1,9 @@
 """Format-preserving pseudonyms for personal data, in SQL functions alone.
 
 Found: e-mail addresses, payment card numbers that pass the Luhn test, social security numbers of valid ranges, IPv4
-addresses, telephone numbers, and valid dates (yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy).  Secrets (access keys, private
-``password=`` values, long hexadecimal tokens in quotes) are replaced in the same way.  Every value is taken apart into
-its characters' classes: a keyed balanced Feistel network of eight rounds over its digits (and one over its letters)
+addresses, telephone numbers, and valid dates (yyyy-mm-dd, also before a time, dd/mm/yyyy, dd.mm.yyyy).  Secrets (access
+keys, ``password=`` values, long hexadecimal tokens in quotes) are replaced in the same way.  Every value is taken apart
+into its characters' classes: a keyed balanced Feistel network of eight rounds over its digits (and one over its letters)
 permutes values of one format among themselves, so equal values get equal pseudonyms in all documents and, with the
 key, no two values the same one.
 
@@ -11,10 +11,14 @@ key, no two values the same one.
 * telephone, number: the digits are permuted, separators and a leading country code stay;
 * date: the day number within 1900-2099 is permuted, so that it stays a date, in its own format;
 * address of a host: the four octets as one 32-bit number;
-* e-mail: the digits and letters of the part before the @ each among themselves; the domain likewise but for its end.
-
-Values that fail validation stay as they are.  Null text stays null; empty text and text without such data is
-unchanged.  Repeated rows get equal answers.  No shuffle, no Python, one pass over whole texts.
+* e-mail: the digits and letters of the part before the @ each among themselves; the domain likewise but for its end;
+* hexadecimal token: its digits as blocks of base 16, in its own case;
+* other secrets, whatever else they hold: digits, small and capital letters each among themselves, all else stays.
+
+Values that fail validation stay as they are; of overlapping ones the first counts, at one place the first of ``KINDS``.
+Null text stays null; empty text and text without such data is unchanged, very long texts are searched whole.  Repeated
+rows get equal answers, an empty table an empty one.  Every column stays, whatever its name, but one named
+``n_private``, whose place the count takes.  No shuffle, no Python, one pass over whole texts.
 """
 
 from __future__ import annotations
@@ -24,21 +28,25 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veduta.llm.common import table
+from veduta.llm.common import free_name, plain, table
 
-KEY = "pseudonym-key-1"
+#: Where the session's configuration has the key.
+KEY_SETTING = "spark.veduta.pseudonym.key"
+#: The registered query's key where that is unset; it protects nothing.
+TEST_KEY = "pseudonym-key-1"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-CARD = r"(?<![\w-])\d{4}(?:([ -]?)\d{4})(?:\1\d{4})\1\d{1,7}(?![\w-])|(?<![\w-])3[47]\d\d[ -]?\d{6}[ -]?\d{5}(?![\w-])"
+CARD = r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1(?:\d{4}\1\d{1,3}|\d{1,7})(?![\w-])|(?<![\w-])3[47]\d\d[ -]?\d{6}[ -]?\d{5}(?![\w-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 HOST = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w+])\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){2,3}(?![\w-])|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
-DATE = r"(?<![\w/.-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\w/-])"
-SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[^\s\"'<>&]{4,64}|(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])"
+DATE = r"(?<![\w/.-])(?:(?:19|20)\d\d-\d\d-\d\d(?:(?=T\d\d:)|(?![\w/-]))|(?:\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\w/-]))"
+HEX = r"[0-9a-f]{32,64}|[0-9A-F]{32,64}"
+SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[^\s\"'<>&]{4,64}|(?<=[\"'])(?:" + HEX + r")(?=[\"'])"
 KINDS = {"email": EMAIL, "host": HOST, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE, "secret": SECRET}
 #: The back-reference of CARD is its only group.
 ANY = "|".join(f"(?:{KINDS[k]})" for k in KINDS)
 #: In every text that holds a value; cheap, and true of few texts.
-HINT = r"@|[0-9]\.?[0-9]|password=|AKIA|[\"'][0-9a-f]{32}"
+HINT = r"@|[0-9]\.?[0-9]|password=|AKIA|[\"'][0-9a-fA-F]{32}"
 ROUNDS, CHUNK = 8, 16
 
 
@@ -91,7 +99,7 @@ def _letters(s: Column, label: Column, key: str, alphabet: str) -> Column:
     power = lambda k: F.pow(F.lit(float(base)), k).cast("long")
 
     def one(part: Column, m: Column, i: Column) -> Column:
-        value = F.aggregate(F.split(part, "(?!^)"), F.lit(0).cast("long"), lambda a, c: a * base + F.ascii(c) - ord(alphabet[0]))
+        value = F.aggregate(F.sequence(F.lit(1), m), F.lit(0).cast("long"), lambda a, k: a * base + F.ascii(F.substring(part, k, F.lit(1))) - ord(alphabet[0]))
         high = F.floor(m / 2).cast("int")
         out = _feistel(value, power(high), power(m - high), F.concat_ws(" ", label, m.cast("string"), i.cast("string")), key)
         spell = lambda v: F.array_join(F.transform(F.sequence(m - 1, F.lit(0)), lambda k: F.char(F.floor(v / power(k)) % base + ord(alphabet[0]))), "")
@@ -116,6 +124,18 @@ def _class(s: Column, pattern: str, alphabet: str | None, label: str, key: str)
     return _let(F.struct(s.alias("s"), F.regexp_replace(s, pattern.replace("[", "[^"), "").alias("own"), shape.alias("shape")), run)
 
 
+def _hex(s: Column, key: str) -> Column:
+    """Permutes hexadecimal strings of each length, in blocks of at most 12 digits; in small letters."""
+    power = lambda k: F.pow(F.lit(16.0), k).cast("long")
+
+    def one(part: Column, m: Column, i: Column) -> Column:
+        high = F.floor(m / 2).cast("int")
+        out = _feistel(F.conv(part, 16, 10).cast("long"), power(high), power(m - high), F.concat_ws(" ", F.lit("hex"), m.cast("string"), i.cast("string")), key)
+        return F.lower(F.lpad(F.hex(out), m, F.lit("0")))
+
+    return _blocks(s, 12, one)
+
+
 def _permuted(s: Column, label: str, key: str, letters: bool) -> Column:
     """Every class of characters of ``s`` permuted for itself."""
     out = _let(s, lambda x: _class(x, "[0-9]", None, label, key))
@@ -137,10 +157,19 @@ def luhn(d: Column) -> Column:
 
 
 def _card(s: Column, key: str) -> Column:
-    def run(d: Column) -> Column:
+    def valid(d: Column) -> Column:
+        return F.length(d).between(13, 19) & (luhn(d) == 0)
+
+    def new(d: Column) -> Column:
         body = F.concat(F.substring(d, 1, 1), _digits(F.substring(d, F.lit(2), F.length(d) - 2), F.lit("card"), key))
-        new = _let(body, lambda b: F.concat(b, ((10 - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
-        return F.when(F.length(d).between(13, 19) & (luhn(d) == 0), _refilled(s, "[0-9]", new)).otherwise(s)
+        return _let(body, lambda b: F.concat(b, ((10 - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
+
+    def run(d: Column) -> Column:
+        # A fifth group may be a number that merely follows.
+        four = s.rlike(r"^\d{4}([ -])\d{4}\1\d{4}\1\d{4}\1\d{1,3}$")
+        first = F.substring(d, 1, 16)
+        behind = F.concat(_refilled(F.substring(s, 1, 19), "[0-9]", _let(first, new)), F.substring(s, F.lit(20), F.length(s)))
+        return F.when(valid(d), _refilled(s, "[0-9]", new(d))).when(four & valid(first), behind).otherwise(s)
 
     return _let(F.regexp_replace(s, "[^0-9]", ""), run)
 
@@ -186,12 +215,13 @@ def _phone(s: Column, key: str) -> Column:
     return _let(country, lambda c: F.concat(c, _permuted(F.substring(s, F.length(c) + 1, F.length(s)), "phone", key, False)))
 
 
-def pseudonym(s: Column, key: str = KEY) -> Column:
+def pseudonym(s: Column, key: str) -> Column:
     """Of one value that ``ANY`` found; a value that fails its validation stays."""
     whole = lambda k: s.rlike(f"^(?:{_bare(KINDS[k])})$")
-    out = F.when(F.contains(s, F.lit("@")), _email(s, key))
-    for k, f in (("host", _host), ("date", _date), ("ssn", _ssn), ("card", _card), ("phone", _phone)):
+    out = F
+    for k, f in (("email", _email), ("host", _host), ("date", _date), ("ssn", _ssn), ("card", _card), ("phone", _phone)):
         out = out.when(whole(k), f(s, key))
+    out = out.when(s.rlike("^[0-9a-f]{32,64}$"), _hex(s, key)).when(s.rlike("^[0-9A-F]{32,64}$"), F.upper(_hex(F.lower(s), key)))
     return out.otherwise(_permuted(s, "secret", key, True))
 
 
@@ -202,16 +232,22 @@ def _bare(pattern: str) -> str:
     return re.sub(r"\(\?<?[!=](?:\[[^\]]*\]|[^()\[\]])*\)", "", pattern)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """The rows of ``docs`` with the text pseudonymised, and ``n_private``: how many values were changed."""
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with the text pseudonymised, and ``n_private``: how many values were changed.
+
+    Without a key given or set as ``spark.veduta.pseudonym.key`` there is no answer.
+    """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"no key: give one or set {KEY_SETTING}")
+    found, rest, new = (free_name(docs, x) for x in ("found", "rest", "new"))
     likely = F.col("text").rlike(HINT)
-    found = F.when(likely, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    marked = docs.withColumns({"__found": found, "__rest": F.when(likely, F.split("text", ANY, -1))})
-    changed = marked.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda x: pseudonym(x, key))))
-    text = F.when(F.size("__found") > 0, F.array_join(F.zip_with("__rest", "__new", lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")).otherwise(F.col("text"))
-    n = F.when(F.size("__found") > 0, F.aggregate(F.zip_with("__found", "__new", lambda a, b: F.when(a == b, 0).otherwise(1)), F.lit(0), lambda a, x: a + x)).otherwise(0)
-    return changed.select(*[(text if c == "text" else F.col(c)).alias(c) for c in docs.columns], n.alias("n_private"))
+    marked = docs.withColumns({found: F.when(likely, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))), rest: F.when(likely, F.split("text", ANY, -1))})
+    changed = marked.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda x: pseudonym(x, key))))
+    text = F.when(F.size(found) > 0, F.array_join(F.zip_with(rest, new, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")).otherwise(F.col("text"))
+    n = F.when(F.size(found) > 0, F.aggregate(F.zip_with(found, new, lambda a, b: F.when(a == b, 0).otherwise(1)), F.lit(0), lambda a, x: a + x)).otherwise(0)
+    return changed.select(*[text.alias(c) if c == "text" else plain(c) for c in docs.columns if c != "n_private"], n.alias("n_private"))
 
 
 def op5_private(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, TEST_KEY))
