@@ -133,3 +133,74 @@ def permuted(s, label, key):
 def hexed(s, key):
     out = _blocks(s.lower(), 12, "0123456789abcdef", "hex", key)
     return out.upper() if s == s.upper() and not s.isdigit() else out
+
+
+def linked(rows, schemas):
+    """(conv_id, turn, part, kind, call_id, name, status, error, order_turn, order_part, order_kind, json) of each event."""
+    import json
+
+    dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    kinds = {"string": str, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+
+    def wrong(name, arguments):
+        if name is None:
+            return "no name"
+        if name not in schemas:
+            return "unknown tool"
+        if not isinstance(arguments, dict):
+            return "arguments are no object"
+        for key, (kind, required) in schemas[name].items():
+            if required and key not in arguments:
+                return f"missing {key}"
+            if key in arguments and (not isinstance(arguments[key], kinds[kind]) or (kind == "number" and isinstance(arguments[key], bool))):
+                return f"{key} is no {kind}"
+        return "undeclared argument" if set(arguments) - set(schemas[name]) else None
+
+    def read(raw):
+        try:
+            return json.loads(raw)
+        except ValueError:
+            return None
+
+    events = []
+    for conv, turn, role, text in rows:
+        role, text = role or "", text or ""
+        results = re.findall(r"(?s)<tool_result>(.*?)</tool_result>", text)
+        alone = role == "tool" and not results
+        plain = re.sub(r"(?s)<(tool_call|tool_result)>.*?</\1>", "", text).strip(" ")
+        own = "" if alone and isinstance(read(text), dict) else plain
+        events.append([conv, turn, 0, "message", None, None, None, dump({"content": own, "role": role}), None, None])
+        for kind, raws in (("call", re.findall(r"(?s)<tool_call>(.*?)</tool_call>", text)), ("result", [text] if alone else results)):
+            for k, raw in enumerate(raws, 1):
+                v = read(raw)
+                v = v if isinstance(v, dict) else None
+                i = None if v is None else v.get("id")
+                if i is None and v is not None and kind == "result":
+                    i = v.get("tool_call_id")
+                i = None if i is None else i if isinstance(i, str) else dump(i)
+                name = v.get("name") if v and kind == "call" else None
+                known = {"arguments", "id", "name"} if kind == "call" else {"content", "id" if v and "id" in v else "tool_call_id"}
+                out = {} if i is None else {"id": i}
+                if v is not None:
+                    out |= {f: v[f] for f in ("arguments", "name") if f in v} if kind == "call" else {f: v[f] for f in ("content",) if f in v}
+                if v is None or i is None or (kind == "call" and name is None) or set(v) - known:
+                    out["raw"] = raw
+                error = wrong(name, (v or {}).get("arguments")) if kind == "call" else None
+                events.append([conv, turn, k, kind, i, name, error, dump(out), (conv, i) if conv is not None and i is not None else None, None])
+    first, answers = {}, Counter()
+    for e in events:
+        if e[8] and e[3] == "call":
+            first[e[8]] = min(first.get(e[8], (e[1], e[2])), (e[1], e[2]))
+        if e[8] and e[3] == "result":
+            answers[e[8]] += 1
+    out = []
+    for conv, turn, part, kind, i, name, error, text, link, _ in events:
+        at, here = first.get(link), (turn, part)
+        status = "message" if kind == "message" else "malformed" if i is None else None
+        if status is None and kind == "call":
+            status = "duplicate" if link and here != at else "answered" if answers[link] and link else "unanswered"
+        elif status is None:
+            status = "linked" if at else "orphan"
+        early = kind == "result" and at and here < at
+        out.append((conv, turn, part, kind, i, name, status, error, *(at if early else here), int(kind == "result"), text))
+    return out

@@ -71,17 +71,19 @@ def attached(rows: DataFrame, info: DataFrame, key: str, most: int = MOST_BROADC
     return left.join(right, same & (F.col("__salt") == F.col("__salt_of"))).select(*rows.columns, *more)
 
 
-def grouped_rows(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def grouped_rows(rows: DataFrame, groups: DataFrame, key: str, size: str, hint: str | None = None) -> DataFrame:
     """``rows`` joined to their ``groups`` (one row a ``key``, with the number of its rows in ``size``).
 
     Both come from written tables, as each is read twice.  Groups with over a thousandth of all rows, fewer than a thousand by that, are broadcast, so
-    that their rows stay where they are; the others meet by key.  Rows without a group are left out, as are null keys.
+    that their rows stay where they are; the others meet by key, as ``hint`` says.  Rows without a group are left out, as
+    are null keys.
     """
     least = max(100, rows.count() // 1000)
     own, more = f"__of_{key}", [c for c in groups.columns if c != key]
     right = groups.withColumnRenamed(key, own)
     hot, cold = F.broadcast(right.where(F.col(size) > least)), right.where(F.col(size) <= least)
     same = F.col(key) == F.col(own)
+    cold = cold.hint(hint) if hint else cold
     there = rows.join(hot, same).select(*rows.columns, *more)
     return there.unionByName(rows.join(hot, same, "left_anti").join(cold, same).select(*rows.columns, *more))
 
