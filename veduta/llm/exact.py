@@ -7,8 +7,12 @@ a chunk that a third of the documents hold leaves each task once) and must be th
 differ is replaced by the SHA-256 of the chunk.  Documents are then grouped by their ordered identifier lists, some
 16 bytes for every 2 KB of text.  A text's bytes are moved once, for the verification, however often it is compared.
 
+A group of more than a thousandth of all rows meets its rows by broadcast of its recipe: there are less than a thousand
+such groups, and their recipes together are no longer than a thousand average ones.
+
 Null text counts as empty and is equal to empty text.  A null doc_id is smaller than any other.  Of rows with equal
-text and equal doc_id one stays.  An empty table gives an empty result; other columns are not read.
+text and equal doc_id one stays.  Very long texts are cut into chunks of at most ``MOST`` bytes.  An empty table gives an
+empty result.  ``exact_groups`` reads doc_id and text alone; ``exact_dedup`` keeps every column, whatever its name.
 """
 
 from __future__ import annotations
@@ -19,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veduta.llm.common import cut, keep_rows, table
+from veduta.llm.common import cut, grouped_rows, keep_rows, table
 
 LEAST, MEAN_BITS, MOST = 512, 11, 16384
+#: Clashing identifiers that are sent to all tasks, 16 bytes each.
+MOST_CLASHES = 100_000
 _REACH = 32  # bytes that a gear hash of 32 bits sees
 
 
@@ -66,8 +72,11 @@ def _joined(texts: pa.Array, most: int = 32 << 20) -> Iterator[tuple[int, bytes,
         yield first, b"".join(parts), starts
 
 
-def recipes(docs: DataFrame, bad: tuple[bytes, ...] = ()) -> DataFrame:
-    """doc_id, text_hash, text_sha256, recipe (ordered chunk identifiers) of every row."""
+def recipes(docs: DataFrame, bad: tuple[bytes, ...] | None = ()) -> DataFrame:
+    """doc_id, text_hash, text_sha256, recipe (ordered chunk identifiers) of every row.
+
+    A ``bad`` identifier gives way to the chunk's SHA-256, all do if ``bad`` is None.
+    """
 
     def run(batches):
         import hashlib
@@ -83,7 +92,7 @@ def recipes(docs: DataFrame, bad: tuple[bytes, ...] = ()) -> DataFrame:
                     for x, y in own:
                         c = data[x:y]
                         k = xxhash.xxh3_128_digest(c)
-                        ids.append(hashlib.sha256(c).digest() if k in bad else k)
+                        ids.append(hashlib.sha256(c).digest() if bad is None or k in bad else k)
                     lists.append(ids)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.binary()))], ["doc_id", "text_hash", "text_sha256", "recipe"])
 
@@ -108,15 +117,14 @@ def clashing(docs: DataFrame) -> DataFrame:
     return chunks.groupBy("id").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low <> high").select("id")
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
+def exact_groups(docs: DataFrame, most_clashes: int = MOST_CLASHES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, text_hash for every row of ``docs``."""
-    bad = tuple(bytes(r[0]) for r in clashing(docs).limit(100_001).collect())  # none, unless someone forges them
-    if len(bad) > 100_000:
-        raise ValueError("more than 100,000 chunk identifiers clash")
-    rows = cut(recipes(docs, bad).withColumn("row", F.monotonically_increasing_id()))
+    bad = tuple(bytes(r[0]) for r in clashing(docs).limit(most_clashes + 1).collect())  # none, unless someone forges them
+    # With so many that they can't be sent to all tasks, no short identifier is trusted.
+    rows = cut(recipes(docs, bad if len(bad) <= most_clashes else None).withColumn("row", F.monotonically_increasing_id()))
     best = F.max(F.struct("doc_id", "row"))
-    groups = rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
-    both = rows.join(groups.withColumnRenamed("recipe", "of"), F.col("recipe") == F.col("of"))
+    groups = cut(rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")))
+    both = grouped_rows(rows, groups, "recipe", "group_size")
     return both.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "text_hash")
 
 

@@ -1,25 +1,31 @@
 """Removal of repeated passages, with a count-min prefilter.
 
 A window is ``WINDOW`` consecutive words.  A word goes if a window that covers it also starts in a document with a
-smaller doc_id.  Windows are known by two 64-bit hashes.
+smaller doc_id.  Windows are known by 128 bits: two polynomial hashes over two independent 64-bit hashes of their words,
+which are not compared themselves; any two windows of a corpus of 10**13 words clash with a chance of one in a trillion.
 
 1. Every window is represented by the least hash of the 25-word runs in it; windows that are equal have equal ones,
    and neighbouring windows mostly share theirs, so there is one for some 13 words.  Each document's distinct ones
    are counted in a count-min sketch.  Tasks send the cells that they touch, block by block of the sketch; merged
    blocks keep a bit for each cell: reached at least twice.  The estimate is never too low, so no repeat is lost.
-   The bits (at most ``MOST_CELLS`` / 8 bytes, whatever the input) are broadcast.
+   The bits (at most ``MOST_CELLS`` / 8 bytes, whatever the input) are broadcast.  Beyond some 2 GB of text for that
+   many cells, ever more windows are taken for repeated and grouped exactly: the result is the same, at more cost.
 2. Only windows whose representative is estimated repeated go on.  In a task, a window that a document with a smaller
    doc_id of the same batch also has is settled there; of the others one document's windows go to the exact grouping,
    dealt out by window hash.  So a passage that a third of all rows share is one row for each batch.
 3. What is settled meets by batch, and goes back to the documents as runs of positions.
 
 Null text has no words.  A null doc_id is larger than any other.  Rows with equal doc_id never count as smaller than
-each other.  An empty table gives an empty result; other columns are not read.
+each other; repeated rows get equal answers.  Batches are cut by bytes, so very long texts stand alone.  An empty table
+gives an empty result.  Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +35,30 @@ WINDOW, INNER = 50, 25
 MOST_CELLS, BLOCK_CELLS, ROWS = 1 << 29, 1 << 20, 2
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered."""
+class Words(dict):
+    """Word -> its number; ``first`` and ``second`` are two independent 64-bit hashes by number."""
+
+    def __init__(self):
+        self.first, self.second = array("Q"), array("Q")
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        self[word] = n = len(self.first)
+        h = xxhash.xxh3_128_intdigest(word)
+        self.first.append(h & 0xFFFFFFFFFFFFFFFF)
+        self.second.append(h >> 64)
+        return n
+
+
+def pieces(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
+    """Slices of a batch whose texts have some ``most`` bytes, or one text."""
+    import numpy as np
+
+    n = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
+    part = np.cumsum(n) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a)
 
 
 class Windows:
@@ -47,7 +67,7 @@ class Windows:
     def __init__(self, window: int = WINDOW, inner: int = INNER):
         import re
 
-        self.window, self.inner, self.words, self.hashes = window, inner, re.compile(WORD).findall, WordHashes()
+        self.window, self.inner, self.words, self.known = window, inner, re.compile(WORD).findall, Words()
 
     def rolled(self, a, base: int, *lengths: int):
         """Polynomial hashes of each of the runs that start at each place, one array for each length."""
@@ -72,12 +92,15 @@ class Windows:
     def __call__(self, texts):
         import numpy as np
 
+        if len(self.known) > 1_000_000:
+            self.known = Words()
         lengths, parts = [], []
         for x in texts:
             own = self.words(x.as_py() or "")
             lengths.append(len(own))
-            parts.append(np.fromiter(map(self.hashes.__getitem__, own), np.uint64, len(own)))
-        a, lengths = (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array(lengths, np.int64)
+            parts.append(np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)))
+        number, lengths = (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(lengths, np.int64)
+        a, other = (np.array(h, np.uint64)[number] for h in (self.known.first, self.known.second))
         count = np.maximum(0, lengths - self.window + 1)
         row = np.repeat(np.arange(len(lengths)), count)
         at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -86,7 +109,7 @@ class Windows:
         if not len(row):
             return row, at, none, none, none
         whole, inner = self.rolled(a, 0x9E3779B97F4A7C15, self.window, self.inner)
-        (second,) = self.rolled(a ^ (a >> np.uint64(31)), 0xC2B2AE3D27D4EB4F, self.window)
+        (second,) = self.rolled(other, 0xC2B2AE3D27D4EB4F, self.window)
         inner = (inner ^ (inner >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         inner ^= inner >> np.uint64(29)
         span, low, m = self.window - self.inner + 1, inner, 1
@@ -116,7 +139,7 @@ def sketch(docs: DataFrame, cells: int, window: int = WINDOW, inner: int = INNER
         import numpy as np
 
         windows = Windows(window, inner)
-        for b in batches:
+        for b in (x for y in batches for x in pieces(y, 0)):
             row, _, _, _, low = windows(b.column(0))
             new = np.append(True, (low[1:] != low[:-1]) | (row[1:] != row[:-1])) if len(low) else np.zeros(0, bool)
             row, low = row[new], low[new]
@@ -169,7 +192,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, inner: int = INNER, most_cell
     while cells < min(most_cells, n_chars // 4):
         cells *= 2
     bits = docs.sparkSession.sparkContext.broadcast(sketch(docs, cells, window, inner))
-    buckets = 8 + n_chars // 16_000_000
+    buckets = 16 + n_chars // 4_000_000
     kind = docs.schema["doc_id"].dataType.simpleString()
     u8, i8, i4 = "<u8", "<i8", "<i4"
 
@@ -186,7 +209,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, inner: int = INNER, most_cell
 
         windows, part = Windows(window, inner), TaskContext.get().partitionId()
         seen = np.frombuffer(bits.value, np.uint8)
-        for number, b in enumerate(batches):
+        for number, b in enumerate(x for y in batches for x in pieces(y, 1)):
             row, at, k1, k2, low = windows(b.column(1))
             keep = np.ones(len(low), bool)
             for c in _cells(low, cells):
@@ -287,7 +310,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, inner: int = INNER, m
     """doc_id, n_words, n_removed, kept_sha256 of every row, and the kept words joined by one space if asked for."""
     import numpy as np
 
-    found = repeats(docs, window, inner, most_cells).hint("shuffle_hash")
+    found = repeats(docs, window, inner, most_cells)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own_hash"))
     both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left").select("doc_id", "text", "starts")
     kind = docs.schema["doc_id"].dataType.simpleString()
