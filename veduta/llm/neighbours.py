@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Vectors are scaled to length 1, where the nearest by Euclidean distance are the nearest by cosine.  Each of ``TABLES``
-tables hashes a vector to ``HASHES`` integers floor((a.x + b) / WIDTH) with Gaussian a.  A query visits its own bucket
+tables hashes a vector to some integers floor((a.x + b) / WIDTH) with Gaussian a.  A query visits its own bucket
 of each table and then perturbed ones, a step up or down in some coordinates, in the order of estimated success: the
 sum of squared distances to the edges crossed, of which the expected order over sorted edges is computed once.
 Candidates of all tables are reranked by exact cosine in double precision.
 
-How many buckets are visited is found by trial: the true neighbours of ``SAMPLE`` queries are searched exactly, and of
-1, 2, 4 and 8 times ``PROBES`` the least that would find ``RECALL`` of them is taken.  If none does, as among vectors of
-many dimensions none of which are near, every query is searched exactly, in blocks.  So is each query for which
-the probes found less than five vec_ids, or than all if there are fewer.
+How many hashes a table has and how many buckets are visited is found by trial: the true neighbours of ``SAMPLE`` queries
+are searched exactly, and of ``CHOICES`` hashes and an eighth to 8 times ``PROBES`` buckets those are taken that would
+find ``RECALL`` of them and visit the fewest of some sampled rows; so tables with more rows, whose neighbours are nearer,
+get more hashes.  If none does, as among vectors of many dimensions none of which are near, every query is searched
+exactly, in blocks.  So is each query for which the probes found less than five vec_ids, or than all if there are fewer.
 
 Buckets are dealt to groups of some ``GROUP`` rows; a bucket with more rows is split by row over several groups, so
 a vector that a third of all rows resemble is no single task.  A query goes once to each group that holds a bucket of
@@ -30,13 +31,15 @@ from pyspark.sql import functions as F
 
 from veduta.llm.common import cut, table
 
-TABLES, HASHES, WIDTH, PROBES, TOP, GROUP = 6, 10, 2.0, 1000, 5, 4096
+TABLES, HASHES, WIDTH, PROBES, TOP, GROUP = 6, None, 2.0, 1000, 5, 4096
+#: Hashes of a table that are tried.
+CHOICES = (8, 10, 12, 14, 16, 20)
 #: Least recall over SAMPLE queries; most times PROBES that are probed for it; components in a block of exact search.
 RECALL, SAMPLE, MORE, BLOCK = 0.95, 64, 8, 1_000_000
 
 
 class Hashing:
-    def __init__(self, size: int, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, seed: int = 5):
+    def __init__(self, size: int, tables: int, hashes: int, width: float = WIDTH, probes: int = PROBES, seed: int = 5):
         import numpy as np
 
         rng = np.random.default_rng(seed)
@@ -93,11 +96,11 @@ class Hashing:
             steps = np.zeros((2 * self.hashes, self.hashes), np.int64)
             for rank, e in enumerate(order):
                 steps[rank, e % self.hashes] = -1 if e < self.hashes else 1
-            out[t] = self.keys(cell[t].astype(np.int64) + masks.astype(np.int64) @ steps)
+            out[t] = self.keys(cell[t].astype(np.int64) + (masks.astype(np.float32) @ steps.astype(np.float32)).astype(np.int64))
         return out
 
 
-def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, group: int = GROUP) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int = TABLES, hashes: int | None = HASHES, width: float = WIDTH, probes: int = PROBES, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose vec_id is divisible by ``every``, against all rows."""
     import numpy as np
 
@@ -118,7 +121,7 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def index(batches):
-        h = Hashing(size, tables, hashes, width)
+        h = Hashing(*how)
         for b in batches:
             keys = h.keys(np.floor(h.places(unit(lists(b.column(2))))))
             n = len(b)
@@ -210,32 +213,51 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
         asked = queries.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         return ranked(stored, asked.withColumn("keys", F.lit(None).cast("array<long>")))
 
+    def met(h, masks, x, keys):
+        # for each row of keys (rows, tables) the place of the first probe of x that meets it
+        own, first = h.probed(x, masks), np.full(len(keys), len(masks))
+        for t in range(tables):
+            order = np.argsort(own[t], kind="stable")
+            at = np.searchsorted(own[t][order], keys[:, t])
+            hit = np.flatnonzero(own[t][order[np.minimum(at, len(order) - 1)]] == keys[:, t])
+            first[hit] = np.minimum(first[hit], order[at[hit]])
+        return first
+
     def enough():
-        # the least number of probes that finds RECALL of some queries' true neighbours; None if MORE times as many do not
+        # (hashes, probes) that find RECALL of some queries' true neighbours and visit the fewest rows; None if none find them
         some = queries.groupBy("query_id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("query_id")).limit(SAMPLE).collect()
         if not some:
-            return probes
+            return (hashes or CHOICES[0]), probes
         true = cut(exact(queries.sparkSession.createDataFrame(some, "query_id long, v array<double>")))
         near: dict = {}
         for r in true.join(rows, "vec_id").groupBy("query_id", "vec_id").agg(F.max_by("v", "row").alias("v")).collect():
             near.setdefault(r["query_id"], []).append(r["v"])
-        h = Hashing(size, tables, hashes, width, MORE * probes)
-        masks, first = h.template(), []
-        for r in some:
-            if r["query_id"] in near:
-                own = h.keys(np.floor(h.places(unit(np.array(near[r["query_id"]])))))
-                keys = h.probed(unit(np.array([r["v"]]))[0], masks)
-                equal = [[np.flatnonzero(keys[t] == x[t])[:1] for t in range(tables)] for x in own]
-                first += [min([int(p[0]) for p in x if len(p)], default=MORE * probes) for x in equal]
-        tried = [probes << k for k in range(MORE.bit_length())]
-        return next((p for p in tried if not first or np.mean(np.array(first) < p) >= RECALL), None)
+        others = rows.orderBy(F.xxhash64("row")).limit(max(256, min(4096, 1_000_000 // size))).select("v").collect()
+        others, best = unit(np.array([r["v"] for r in others])), None
+        for m in [hashes] if hashes else CHOICES:
+            h = Hashing(size, tables, m, width, MORE * probes)
+            masks, found, seen = h.template(), [], []
+            keys_of = lambda v: h.keys(np.floor(h.places(v)))  # noqa: B023, E731
+            other_keys = keys_of(others)
+            for r in some:
+                if r["query_id"] in near:
+                    x = unit(np.array([r["v"]]))[0]
+                    found.append(met(h, masks, x, keys_of(unit(np.array(near[r["query_id"]])))))
+                    seen.append(met(h, masks, x, other_keys))
+            found, seen = (np.concatenate(y) if y else np.zeros(0) for y in (found, seen))
+            for p in (probes * MORE >> k for k in range(7)):
+                if p and (not len(found) or np.mean(found < p) >= RECALL):
+                    visited = float(np.mean(seen < p)) if len(seen) else 0.0
+                    if best is None or (visited, p) < best[:2]:
+                        best = visited, p, m
+        return best and (best[2], best[1])
 
     n_rows, n_ids = rows.agg(F.count("*"), F.count_distinct("vec_id")).first()
     queries = rows.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"), "v")
     chosen = enough()
     if chosen is None:
         return exact(queries)
-    how = (size, tables, hashes, width, chosen)
+    how = (size, tables, chosen[0], width, chosen[1])
     placed = cut(rows.mapInArrow(lambda bs: index(bs), "row long, t int, key long"))
     buckets = placed.groupBy("t", "key").agg(F.count("*").alias("size"))
     parts = F.ceil(F.col("size") / group).cast("int")
