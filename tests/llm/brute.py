@@ -15,7 +15,8 @@ def documents(spark, rows, extra=False):
     if extra:  # names that the operators use themselves
         from pyspark.sql import functions as F
 
-        names = "row rep key keys label labels class_id kept score lang_pred size taken id at bucket chunk length piece text_hash recipe n digest".split()
+        names = "row rep key keys label labels class_id kept score lang_pred size taken id at bucket chunk length piece text_hash recipe n digest told".split()
+        names += [f"__{c}" for c in "id own of hash doc row text told mix_n r0 key k salt found range order".split()] + ["a.b", "A b"]
         df = df.withColumns({c: F.lit(f"own {c}") for c in names})
     return df
 
@@ -204,3 +205,25 @@ def linked(rows, schemas):
         early = kind == "result" and at and here < at
         out.append((conv, turn, part, kind, i, name, status, error, *(at if early else here), int(kind == "result"), text))
     return out
+
+
+def seats(sizes, total):
+    """Seats by highest quotients; ties to the smaller item."""
+    quotients = sorted((-(v / (2.0 * k + 1.0)), i, k) for i, v in sizes.items() if v > 0 for k in range(total))
+    return Counter(i for _, i, _ in quotients[:total])
+
+
+def targets(sizes, cap=3):
+    """Sources' targets: shared by weight, the excess over the cap reshared until none is above."""
+    weight = {s: 1 + i % 3 for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+    left, open_, out = sum(sizes.values()), set(sizes), {}
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if share * weight[s] > cap * sizes[s]}
+        if not over:
+            return out | {s: share * weight[s] for s in open_}
+        for s in over:
+            out[s] = cap * sizes[s]
+            left -= out[s]
+        open_ -= over
+    return out

@@ -151,3 +151,89 @@ def test_empty_tables(spark):
     docs = brute.documents(spark, [])
     assert exact.exact_groups(docs).count() == near.near_groups(docs).count() == substring.without_repeats(docs).count() == 0
     assert exact.exact_dedup(docs).count() == near.near_dedup(docs).count() == 0
+
+
+def test_near_wordless_repeats(spark):
+    docs = brute.documents(spark, [(1, None), (1, None), (2, "!!"), (2, "!!"), (3, "!!"), (None, ""), (None, ""), (4, "a b c")])
+    got = near.near_groups(docs).collect()
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in got) == sorted([("1", "1", 2)] * 2 + [("2", "2", 2)] * 2 + [("3", "3", 1)] + [("None", "None", 2)] * 2 + [("4", "4", 1)])
+    assert sum(r.kept for r in got) == near.near_dedup(docs).count() == 5
+
+
+def test_near_common_passage(spark):
+    """Texts that share a passage and no more, among them some that are near copies."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(4000)]
+    passage, rows = [rng.choice(words) for _ in range(60)], []
+    for i in range(240):
+        own = [rng.choice(words) for _ in range(25)]
+        rows.append((i, " ".join(own[:12] + passage + own[12:])))
+        if i % 8 == 0:
+            rows.append((1000 + i, " ".join(own[:12] + passage + own[12:-1])))
+    want = brute.near_classes(rows)
+    got = {r.doc_id: r.class_id for r in near.near_groups(brute.documents(spark, rows)).collect()}
+    least = {}
+    for (i, _), c in zip(rows, want, strict=True):
+        least[c] = min(least.get(c, i), i)
+    assert [got[i] for i, _ in rows] == [least[c] for c in want] and len(set(got.values())) == 240
+
+
+def test_near_short_texts_are_all_found(spark):
+    rows = []
+    for i in range(400):
+        own = [f"v{i}x{k}" for k in range(9)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:-1]))]
+    got = near.near_groups(brute.documents(spark, rows)).collect()
+    assert all(r.class_id == r.doc_id // 2 * 2 and r.class_size == 2 for r in got)
+
+
+def test_long_texts(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(150_000)]
+    other = [*words[:70_000], "new", *words[70_001:]]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "x" * 900_000), (4, " ".join(words[-60:]))]
+    docs = brute.documents(spark, rows, extra=True)
+    assert {r.doc_id: r.class_id for r in near.near_groups(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert sorted(tuple(r) for r in substring.without_repeats(docs).collect()) == sorted(brute.repeats(rows))
+    assert exact.exact_dedup(docs).count() == 4
+
+
+@pytest.mark.parametrize("stage", [exact.exact_dedup, near.near_dedup])
+def test_dedup_keeps_columns(spark, stage):
+    docs = brute.documents(spark, ODD, extra=True)
+    got = stage(docs)
+    assert got.columns == docs.columns and got.where("`a.b` <> 'own a.b' OR __doc <> 'own __doc'").count() == 0
+
+
+def test_exact_without_trusted_identifiers(spark, monkeypatch):
+    docs = brute.documents(spark, [(i, f"text {i % 3}") for i in range(9)])
+    assert {len(x) for r in exact.recipes(docs, None).collect() for x in r.recipe} == {32}
+    monkeypatch.setattr(exact, "clashing", lambda d: d.select(exact.F.lit(b"x").alias("id")))
+    assert sorted(r.group_size for r in exact.exact_groups(docs, most_clashes=2).collect()) == [3] * 9
+
+
+def test_groups_meet_their_rows(spark):
+    from pyspark.sql import functions as F
+
+    from veduta.llm.common import attached, cut, grouped_rows, release
+
+    rows = cut(spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 > 0, F.col("id")).alias("k"), "id"))
+    groups = cut(rows.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")))
+    got = grouped_rows(rows, groups, "k", "n")
+    assert got.count() == rows.where("k IS NOT NULL").count() and got.columns == ["k", "id", "n", "low"]
+    assert got.where("k = 0").select("n").distinct().count() == 1 and got.where("k > 0 AND (n <> 1 OR low <> id)").count() == 0
+    info = cut(rows.groupBy("k").agg(F.max("id").alias("high")))
+    ways = [attached(rows, info, "k", most=m) for m in (10**6, 0)]
+    assert ways[0].count() == ways[1].count() == 3000 and ways[0].exceptAll(ways[1]).isEmpty()
+    release(rows, groups, info)
+
+
+def test_folders(spark):
+    from veduta.llm.common import cut, release, shared_folder
+
+    assert shared_folder(spark) == shared_folder(spark)
+    df = cut(spark.range(3))
+    assert df.written_at.startswith(shared_folder(spark)) and df.count() == 3
+    release(df)
+    with pytest.raises(Exception, match="."):
+        spark.read.parquet(df.written_at)

@@ -205,6 +205,119 @@ def test_registered():
     assert [int(k.split("_")[0][2:]) for k in queries.QUERIES] == list(range(1, 11))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotas_are_highest_quotients(spark, seed):
+    from pyspark.sql import functions as F
+
+    from veduta.llm.common import cut
+
+    rng, groups = random.Random(seed), {}
+    for g in [None, *range(12)]:
+        sizes = {i: rng.choice([1, 1, 3, 50, 5000]) * rng.randrange(0, 9) for i in range(rng.randrange(1, 40))}
+        groups[g] = (sizes, rng.choice([0, 1, 7, 100, 900]))
+    rows = [(g, i, v, sum(sizes.values()), n, len(sizes)) for g, (sizes, n) in groups.items() for i, v in sizes.items()]
+    items = cut(spark.createDataFrame(rows, "g long, i long, v long, total long, n long, many long"))
+    got = mixing.quotas(items, "g", "i", "v", F.col("total"), F.col("n"), F.col("many")).collect()
+    want = {(g, i): k for g, (sizes, n) in groups.items() for i, k in brute.seats(sizes, n).items()}
+    assert {(r.g, r.i): r.quota for r in got if r.quota} == want
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from veduta.llm.common import cut
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), i, rng.randrange(10)) for i in range(500)]
+    df = cut(spark.createDataFrame(rows, "a int, b int, v int").repartition(6))
+    got = mixing.running(df, [F.col("a").desc(), F.col("b").asc()], place=F.lit(1), total=F.col("v")).collect()
+    total = 0
+    for k, (a, b, v) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1]))):
+        (r,) = [x for x in got if (x.a, x.b) == (a, b)]
+        assert (r.place, r.total) == (k, total)
+        total += v
+    assert mixing.running(df.limit(0), [F.col("a").asc()], place=F.lit(1)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mixing_targets_and_tiny_sources(spark, seed):
+    rng = random.Random(seed)
+    names = [None, "", *[f"s{i}" for i in range(30)]]
+    rows = [(i, " ".join(["w"] * rng.choice([1, 2, 40, 400])), None, s) for i, s in enumerate(rng.choices(names, [10**6 / (k + 1) ** 2 for k in range(32)], k=600))]
+    rows += [(10**6 + k, "one two", None, f"tiny{k}") for k in range(5)] + [(None, "a b c", None, "")] * 200
+    sizes: dict = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want, got = brute.targets(sizes), {}
+    for r in mixing.mix(brute.documents(spark, rows, extra=True), shard=2000).collect():
+        assert math.isclose(r.target, want[r.source], rel_tol=1e-9) and r.source_size == sizes[r.source] and 0 <= r.taken <= 3 * r.size
+        got[r.source] = got.get(r.source, 0) + r.taken
+    assert all(abs(got[s] - t) <= 1 + 0.08 * t for s, t in want.items()) and all(got[f"tiny{k}"] > 0 for k in range(5))
+
+
+def test_mixing_long_text_and_repeated_rows(spark):
+    words = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, words, None, "a"), (2, "x y", None, "b")] + [(3, "p q r", None, "b")] * 500
+    docs = brute.documents(spark, rows, extra=True)
+    taken = mixing.mix(docs).collect()
+    assert len(taken) == len(rows)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.where("`a.b` <> 'own a.b'").count() == 0
+    assert sum(len((r.text or "").split()) for r in out.select("text").collect()) == sum(r.taken for r in taken)
+
+
+def documents_folder(spark, tmp_path, rows):
+    brute.documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_of_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, documents_folder(spark, tmp_path, [])).count() == 0
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"the house and the garden number {'x' * i}", "en", "a") for i in range(1, 30)] + [(100 + i, f"das haus und der garten nummer {'y' * i}", "de", None) for i in range(1, 30)]
+    rows += [(200, None, "en", "a"), (201, "", "de", None), (202, "12 34", None, "b"), (None, "the house of the garden", None, "a"), *rows[:3], (300, "the house and the " * 30_000, None, "c")]
+    out = corpus_pipeline.run(spark, documents_folder(spark, tmp_path, rows)).collect()
+    ids = {r.doc_id for r in out}
+    assert not ids & {200, 201, 202} and {None, 300, 5, 105} <= ids and all(0 < r.length <= 1024 for r in out)
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on what the one before it kept."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    told = stages["language"](spark, docs, SF)
+    left = [(r.doc_id, r.text) for r in told.collect()]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    best: dict = {}
+    for i, t in left:
+        best[t.translate(lower)] = max(best.get(t.translate(lower), i), i)
+    once = stages["exact"](spark, told, SF)
+    assert sorted(r.doc_id for r in once.select("doc_id").collect()) == sorted(best.values())
+    rows = [(r.doc_id, r.text) for r in once.collect()]
+    least: dict = {}
+    for (i, _), c in zip(rows, brute.near_classes(rows), strict=True):
+        least[c] = min(least.get(c, i), i)
+    near = stages["near"](spark, once, SF)
+    assert sorted(r.doc_id for r in near.select("doc_id").collect()) == sorted(least.values())
+    mixed = stages["mixture"](spark, near, SF)
+    assert sum(len(r.text.split()) for r in mixed.collect()) == sum(r.taken for r in mixing.mix(near).collect())
+    packed = stages["packing"](spark, mixed, SF).collect()
+    at: dict = {}
+    for r in packed:
+        at.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in at.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
