@@ -13,11 +13,13 @@ unmatched k-mers, so only matches within that band of the diagonal are aligned,
 are not aligned at all.  Documents of 0.8 or more are linked; a class is a connected component of links.
 
 Documents with equal words are one text.  Texts are compared in rounds: each with the centre with which it shares
-most sketches; then one pair for each two classes that still share a bucket, several times, about other centres.  The
-texts of buckets that then still hold several classes, and all short ones, are compared with every text of another
-class with which they share one of their rarest k-mers: two texts of similarity ``least`` do, and texts that merely
-share a common passage do not.  Pairs within a class are never needed, so a bucket of thousands of near copies costs a
-few comparisons each, and no link between classes is lost.  Components are found by joins, pointers halving each time.
+most sketches; then one pair for each two classes that still share a bucket, several times, about other centres.  Of
+the buckets that then still hold several classes, only texts remain of which at least ``least`` of the k-mers stand in
+texts of other classes, as they do in similar ones: texts that merely share a common passage go.  Those that remain in a
+bucket are paired by outlines, bits for their k-mers that tell how many a text lacks at least.  Short texts are paired
+where they share one of their rarest k-mers, as similar ones do.  Pairs within a class are never needed, so a bucket
+of thousands of near copies costs a few comparisons each, and no link between classes is lost.  Components are found by
+joins, pointers halving each time.
 
 Null and empty texts, and others without a word, have no near-duplicates: rows without a word are in one class only if
 doc_id and text are equal.  Repeated rows are in one class.  Very long texts are sketched and aligned whole.  Of equally
@@ -260,6 +262,176 @@ def _prefix_pairs(labels: DataFrame, texts: DataFrame, least: float, block: int
     return out
 
 
+def _supported(labels: DataFrame, texts: DataFrame, least: float, part: int = 100_000, bucket: int = 400_000) -> DataFrame:
+    """rep: those of ``texts`` (rep, la) of which enough labels stand in texts of other classes.
+
+    A text of n labels that is similar to one of another class has least * n labels or more in common with it.  Texts go
+    in chunks of some ``part`` labels; the labels of a chunk are dealt into buckets, packed, where labels of two
+    classes are found; how many of these each text has goes back to its chunk.
+    """
+    n_labels = texts.join(labels, "rep").agg(F.sum(F.length("labels"))).first()[0] or 0
+    buckets = 8 + n_labels // 8 // bucket
+    names = ["bucket", "chunk", "labels", "classes", "at", "n"]
+    middle = "bucket int, chunk long, labels binary, classes binary, at binary, n binary"
+
+    def row(k, chunk, *blobs):
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names)
+
+    def spread(batches):
+        import numpy as np
+        import xxhash
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId(), 0
+        for b in batches:
+            own = [np.frombuffer(x.as_buffer(), "<u8") for x in b.column(2)]
+            n = np.array([len(x) for x in own], np.int64)
+            ends = np.flatnonzero(np.diff(np.cumsum(n) // part, append=-1)) + 1
+            for x, y in zip([0, *ends], ends, strict=False):
+                reps, classes = (b.column(j)[x:y].to_numpy() for j in (0, 1))
+                chunk = xxhash.xxh3_64_intdigest(b"%d %d " % (task, number) + reps.tobytes()) - 2**63
+                number += 1
+                at, all_ = np.repeat(np.arange(y - x, dtype="<u4"), n[x:y]), np.concatenate(own[x:y])
+                yield row(-1, chunk, reps, n[x:y], np.zeros(0, "<u4"), np.zeros(0, "<u4"))
+                to = ((all_ >> np.uint64(13)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                edges = np.searchsorted(to[order], np.arange(buckets + 1))
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    i = order[edges[k] : edges[k + 1]]
+                    yield row(k, chunk, all_[i], classes[at[i]], at[i], np.zeros(0, "<u4"))
+
+    def counted(batches):
+        import numpy as np
+
+        def done(held):
+            all_, classes = (np.concatenate([h[j] for h in held]) for j in (1, 2))
+            order = np.argsort(all_, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(all_[order]) != 0))
+            low, high = (f.reduceat(classes[order], starts) for f in (np.minimum, np.maximum))
+            mixed = np.empty(len(all_), bool)
+            mixed[order] = np.repeat(low != high, np.diff(starts, append=len(all_)))
+            p = 0
+            for chunk, own, _, at in held:
+                got = np.bincount(at[mixed[p : p + len(own)]]) if len(own) else np.zeros(0, int)
+                p += len(own)
+                some = np.flatnonzero(got)
+                if len(some):
+                    yield row(-2, chunk, np.zeros(0, "<u8"), np.zeros(0, "<u8"), some.astype("<u4"), got[some].astype("<u4"))
+
+        now, held = None, []
+        for b in batches:
+            for i, k in enumerate(b.column(0).to_pylist()):
+                if k < 0:
+                    yield b.slice(i, 1)
+                    continue
+                if k != now and held:
+                    yield from done(held)
+                    held = []
+                now = k
+                held.append((b.column(1)[i].as_py(), *[np.frombuffer(b.column(j)[i].as_buffer(), t) for j, t in ((2, "<u8"), (3, "<i8"), (4, "<u4"))]))
+        if held:
+            yield from done(held)
+
+    def enough(batches):
+        import numpy as np
+
+        now, whole, got = None, None, []
+
+        def done():
+            reps, n = whole
+            shared = np.zeros(len(reps), np.int64)
+            for at, k in got:
+                shared[at] += k
+            return pa.RecordBatch.from_arrays([pa.array(reps[shared >= np.ceil(n * least - 1e-6)])], ["rep"])
+
+        for b in batches:
+            for i, (k, c) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if c != now and now is not None:
+                    yield done()
+                    whole, got = None, []
+                now = c
+                if k == -1:
+                    whole = tuple(np.frombuffer(b.column(j)[i].as_buffer(), "<i8") for j in (2, 3))
+                else:
+                    got.append(tuple(np.frombuffer(b.column(j)[i].as_buffer(), "<u4") for j in (4, 5)))
+        if now is not None:
+            yield done()
+
+    lists = texts.join(labels, "rep").select("rep", "la", "labels").mapInArrow(spread, middle)
+    counts = lists.repartition("bucket", F.when(F.col("bucket") < 0, F.col("chunk"))).sortWithinPartitions("bucket").mapInArrow(counted, middle)
+    return counts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(enough, "rep long")
+
+
+def _bucket_pairs(members: DataFrame, texts: DataFrame, least: float, block: int = 2048, words: int = 32) -> DataFrame:
+    """a, b, la, lb: the pairs of two classes that share a bucket and may be similar enough, each once.
+
+    ``members`` (rep, key, held) of open buckets; ``texts`` (rep, la, n, keys, labels).  A text's outline has a bit for each
+    of its labels modulo 64 * ``words``: bits of one text that another lacks are labels that it lacks.  Members of one bucket
+    meet by pairs of blocks of some ``block`` texts; a pair counts in the first bucket that it shares.
+    """
+
+    def outlined(batches):
+        import numpy as np
+
+        for b in batches:
+            out = []
+            for x in b.column(4):
+                bits = np.zeros(64 * words, np.uint8)
+                bits[(np.frombuffer(x.as_buffer(), "<u8") >> np.uint64(40)).astype(np.int64) % (64 * words)] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(4)), pa.array(out, pa.binary())], ["rep", "la", "n", "keys", "outline"])
+
+    outlines = cut(texts.select("rep", "la", "n", "keys", "labels").mapInArrow(outlined, "rep long, la long, n long, keys array<long>, outline binary"))
+    blocks = F.ceil(F.col("held") / block).cast("int")
+    met = members.withColumns({"block": F.pmod(F.xxhash64("rep"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    met = met.select("rep", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
+    cells = met.join(outlines, "rep").select("key", "x", "y", "block", "rep", "la", "n", "keys", "outline")
+
+    def paired(batches):
+        import numpy as np
+
+        def done(cell, held):
+            key, x, y = cell
+            block_, rep, la, n, keys, outline = (np.concatenate([h[j] for h in held]) for j in range(6))
+            if len(rep) < 2 or la.min() == la.max():
+                return
+            for p in range(0, len(rep), 64):
+                q = slice(p, p + 64)
+                ok = (rep[q, None] < rep) & (la[q, None] != la) & ((block_[q, None] == block_) == (x == y))
+                ok &= np.minimum(n[q, None], n) >= least * np.maximum(n[q, None], n) - 1e-9
+                all_i, all_j = np.nonzero(ok)
+                for r in range(0, len(all_i), 32_768):
+                    i, j = all_i[r : r + 32_768] + p, all_j[r : r + 32_768]
+                    need = np.ceil(least * (n[i] + n[j]) / (1 + least) - 1e-6)
+                    good = np.bitwise_count(outline[i] & ~outline[j]).sum(axis=1, dtype=np.int64) <= n[i] - need
+                    i, j, need = i[good], j[good], need[good]
+                    good = np.bitwise_count(outline[j] & ~outline[i]).sum(axis=1, dtype=np.int64) <= n[j] - need
+                    i, j = i[good], j[good]
+                    first = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == key
+                    i, j = i[first], j[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (rep[i], rep[j], la[i], la[j])], ["a", "b", "la", "lb"])
+
+        now, held = None, []
+        for b in batches:
+            at = np.stack([b.column(j).to_numpy() for j in range(3)], axis=1)
+            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+            for p, q in zip(edges, edges[1:], strict=False):
+                cell, part = tuple(at[p].tolist()), b.slice(p, q - p)
+                if cell != now and held:
+                    yield from done(now, held)
+                    held = []
+                now = cell
+                own = np.frombuffer(b"".join(part.column(8).to_pylist()), np.uint64).reshape(len(part), words)
+                held.append((*(part.column(j).to_numpy() for j in range(3, 7)), part.column(7).flatten().to_numpy().reshape(len(part), -1), own))
+        if held:
+            yield from done(now, held)
+
+    sorted_ = cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    out = cut(sorted_.mapInArrow(paired, "a long, b long, la long, lb long"))
+    release(outlines)
+    return out
+
+
 def near_groups(docs: DataFrame, k: int = K, ell: int = ELL, tables: int = TABLES, least: float = LEAST, rounds: int = ROUNDS, short: int = SHORT) -> DataFrame:
     """doc_id, class_id (the class's smallest doc_id), class_size, kept (one row of each class) and text_hash."""
     wordless = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_hash"))
@@ -270,11 +442,11 @@ def near_groups(docs: DataFrame, k: int = K, ell: int = ELL, tables: int = TABLE
     texts = cut(texts.select(F.col("first.row").alias("rep"), "digest", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "smallest", "copies", "n", "keys"))
     reps = texts.where("n > 0")
 
-    # Buckets of two texts or more: their members and, apart from these, their centres.
+    # Buckets of two texts or more: their members, each with the bucket's centres.
     each = reps.select("rep", F.explode("keys").alias("key"))
     centre = [F.min(F.struct(F.xxhash64("rep", F.lit(r)), "rep")).getField("rep").alias(f"c{r}") for r in range(rounds)]
     centres = cut(each.groupBy("key").agg(F.count("*").alias("held"), *centre).where("held > 1"))
-    members = cut(grouped_rows(each, centres.select("key", "held"), "key", "held").select("rep", "key", "held"))
+    members = cut(grouped_rows(each, centres, "key", "held").drop("held"))
 
     brief = F.col("n") * least < short  # all that may be similar to a short text
     needed = members.select("rep").unionByName(reps.where(brief).select("rep")).distinct()
@@ -296,8 +468,8 @@ def near_groups(docs: DataFrame, k: int = K, ell: int = ELL, tables: int = TABLE
 
     def about(r: int) -> DataFrame:
         """Each text with the centres of its buckets, and the number of buckets."""
-        there = grouped_rows(members.drop("held"), centres.select("key", "held", F.col(f"c{r}").alias("b")), "key", "held")
-        pairs = there.where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("shared"))
+        there = members.select(F.col("rep").alias("a"), F.col(f"c{r}").alias("b")).where("a <> b")
+        pairs = there.groupBy("a", "b").agg(F.count("*").alias("shared"))
         return pairs.join(sizes_a, "a").join(sizes_b, "b").where(_fits("na", "nb", least)).select("a", "b", "shared")
 
     tried = cut(about(0).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
@@ -323,13 +495,17 @@ def near_groups(docs: DataFrame, k: int = K, ell: int = ELL, tables: int = TABLE
     # What is left: the texts of buckets that still hold several classes, and short ones.
     mixed = classes.of(members, "rep", "la").groupBy("key").agg(F.min("la").alias("lo"), F.max("la").alias("hi"), F.count("*").alias("held"))
     mixed = cut(mixed.where("lo <> hi").select("key", "held"))
-    left = grouped_rows(members.drop("held"), mixed, "key", "held").select("rep").unionByName(reps.where(brief).select("rep")).distinct()
-    left = cut(classes.of(left, "rep", "la"))
-    rest = _prefix_pairs(labels, left, least)
+    open_ = cut(grouped_rows(members.select("rep", "key"), mixed, "key", "held"))
+    left = cut(classes.of(open_.select("rep").distinct(), "rep", "la"))
+    likely = cut(_supported(labels, left, least))
+    whole = left.join(likely, "rep", "left_semi").join(reps.select("rep", "n", "keys"), "rep").join(labels, "rep")
+    rest = _bucket_pairs(open_.join(likely, "rep", "left_semi"), whole, least)
+    few = cut(classes.of(reps.where(brief).select("rep"), "rep", "la"))
+    short_ = _prefix_pairs(labels, few, least)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = cut(rest.join(done, ["a", "b"], "left_anti"))
+    last = cut(rest.unionByName(short_).distinct().join(done, ["a", "b"], "left_anti"))
     joined(last)
-    release(rest, last, left, mixed, tried, labels, members, centres)
+    release(rest, short_, last, few, likely, left, open_, mixed, tried, labels, members, centres)
 
     own = cut(classes.of(texts.select("digest", "rep", "copies", "smallest"), "rep", "class"))
     groups = cut(own.groupBy("class").agg(F.min("smallest").alias("least"), F.sum("copies").alias("class_size"), F.count("*").alias("held")))

@@ -8,8 +8,8 @@ Candidates of all tables are reranked by exact cosine in double precision.
 
 How many hashes a table has and how many buckets are visited is found by trial: the true neighbours of ``SAMPLE`` queries
 are searched exactly, and of ``CHOICES`` hashes and an eighth to 8 times ``PROBES`` buckets those are taken that would
-find ``RECALL`` of them and visit the fewest of some sampled rows; so tables with more rows, whose neighbours are nearer,
-get more hashes.  If none does, as among vectors of many dimensions none of which are near, every query is searched
+find ``RECALL`` of them at the least cost: the rows visited, by the share of some sampled ones, and the probes, each of
+which takes as long as ``PROBE`` rows; so tables with more rows get more hashes.  If none does, as among vectors of many dimensions none of which are near, every query is searched
 exactly, in blocks.  So is each query for which the probes found less than five vec_ids, or than all if there are fewer.
 
 Buckets are dealt to groups of some ``GROUP`` rows; a bucket with more rows is split by row over several groups, so
@@ -34,6 +34,8 @@ from veduta.llm.common import cut, table
 TABLES, HASHES, WIDTH, PROBES, TOP, GROUP = 6, None, 2.0, 1000, 5, 4096
 #: Hashes of a table that are tried.
 CHOICES = (8, 10, 12, 14, 16, 20)
+#: Rows that are ranked in the time of a probe.
+PROBE = 16
 #: Least recall over SAMPLE queries; most times PROBES that are probed for it; components in a block of exact search.
 RECALL, SAMPLE, MORE, BLOCK = 0.95, 64, 8, 1_000_000
 
@@ -224,7 +226,7 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
         return first
 
     def enough():
-        # (hashes, probes) that find RECALL of some queries' true neighbours and visit the fewest rows; None if none find them
+        # (hashes, probes) that find RECALL of some queries' true neighbours at the least cost; None if none do
         some = queries.groupBy("query_id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("query_id")).limit(SAMPLE).collect()
         if not some:
             return (hashes or CHOICES[0]), probes
@@ -247,9 +249,9 @@ def neighbours(vectors: DataFrame, every: int = 50, top: int = TOP, tables: int
             found, seen = (np.concatenate(y) if y else np.zeros(0) for y in (found, seen))
             for p in (probes * MORE >> k for k in range(7)):
                 if p and (not len(found) or np.mean(found < p) >= RECALL):
-                    visited = float(np.mean(seen < p)) if len(seen) else 0.0
-                    if best is None or (visited, p) < best[:2]:
-                        best = visited, p, m
+                    cost = tables * p * PROBE + n_rows * float(np.mean(seen < p) if len(seen) else 0)
+                    if best is None or (cost, p) < best[:2]:
+                        best = cost, p, m
         return best and (best[2], best[1])
 
     n_rows, n_ids = rows.agg(F.count("*"), F.count_distinct("vec_id")).first()
