@@ -74,18 +74,21 @@ def attached(rows: DataFrame, info: DataFrame, key: str, most: int = MOST_BROADC
 def grouped_rows(rows: DataFrame, groups: DataFrame, key: str, size: str, hint: str | None = None) -> DataFrame:
     """``rows`` joined to their ``groups`` (one row a ``key``, with the number of its rows in ``size``).
 
-    Both come from written tables, as each is read twice.  Groups with over a thousandth of all rows, fewer than a thousand by that, are broadcast, so
-    that their rows stay where they are; the others meet by key, as ``hint`` says.  Rows without a group are left out, as
-    are null keys.
+    Both come from written tables, as each is read twice.  Groups with over a thousandth of all rows, fewer than a
+    thousand by that, are broadcast, so that their rows stay where they are; the others meet by key, as ``hint`` says.
+    Which are which is told by hashes of these keys.  Rows without a group are left out, as are null keys.
     """
     least = max(100, rows.count() // 1000)
-    own, more = f"__of_{key}", [c for c in groups.columns if c != key]
-    right = groups.withColumnRenamed(key, own)
-    hot, cold = F.broadcast(right.where(F.col(size) > least)), right.where(F.col(size) <= least)
-    same = F.col(key) == F.col(own)
-    cold = cold.hint(hint) if hint else cold
-    there = rows.join(hot, same).select(*rows.columns, *more)
-    return there.unionByName(rows.join(hot, same, "left_anti").join(cold, same).select(*rows.columns, *more))
+    own, more = f"__{key}", [c for c in groups.columns if c != key]
+    right, same = groups.withColumnRenamed(key, own), F.col(key) == F.col(own)
+    hot = [r[0] for r in groups.where(F.col(size) > least).select(F.xxhash64(key)).collect()]
+    meet = lambda a, b: a.join(b, same).select(*rows.columns, *more)
+    cold = lambda c: ~F.xxhash64(c).isin(hot)
+    if not hot:
+        return meet(rows, right.hint(hint) if hint else right)
+    few = right.where(cold(own))
+    there = meet(rows.where(~cold(key)), F.broadcast(right.where(~cold(own))))
+    return there.unionByName(meet(rows.where(cold(key)), few.hint(hint) if hint else few))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -362,7 +362,7 @@ def _supported(labels: DataFrame, texts: DataFrame, least: float, part: int = 10
     return counts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(enough, "rep long")
 
 
-def _bucket_pairs(members: DataFrame, texts: DataFrame, least: float, block: int = 2048, words: int = 32) -> DataFrame:
+def _bucket_pairs(members: DataFrame, texts: DataFrame, least: float, block: int = 512, words: int = 64) -> DataFrame:
     """a, b, la, lb: the pairs of two classes that share a bucket and may be similar enough, each once.
 
     ``members`` (rep, key, held) of open buckets; ``texts`` (rep, la, n, keys, labels).  A text's outline has a bit for each
@@ -443,8 +443,9 @@ def near_groups(docs: DataFrame, k: int = K, ell: int = ELL, tables: int = TABLE
     reps = texts.where("n > 0")
 
     # Buckets of two texts or more: their members, each with the bucket's centres.
-    each = reps.select("rep", F.explode("keys").alias("key"))
-    centre = [F.min(F.struct(F.xxhash64("rep", F.lit(r)), "rep")).getField("rep").alias(f"c{r}") for r in range(rounds)]
+    each = reps.select("rep", "n", F.explode("keys").alias("key"))
+    centre = [F.min(F.struct(F.xxhash64("rep", F.lit(r)), "rep", "n")) for r in range(rounds)]
+    centre = [c.getField(f).alias(f"{f}{r}") for r, c in enumerate(centre) for f in ("rep", "n")]
     centres = cut(each.groupBy("key").agg(F.count("*").alias("held"), *centre).where("held > 1"))
     members = cut(grouped_rows(each, centres, "key", "held").drop("held"))
 
@@ -464,13 +465,11 @@ def near_groups(docs: DataFrame, k: int = K, ell: int = ELL, tables: int = TABLE
     if repeated(rows):
         labels = labels.dropDuplicates(["rep"])
     labels = cut(labels)
-    sizes_a, sizes_b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
 
     def about(r: int) -> DataFrame:
         """Each text with the centres of its buckets, and the number of buckets."""
-        there = members.select(F.col("rep").alias("a"), F.col(f"c{r}").alias("b")).where("a <> b")
-        pairs = there.groupBy("a", "b").agg(F.count("*").alias("shared"))
-        return pairs.join(sizes_a, "a").join(sizes_b, "b").where(_fits("na", "nb", least)).select("a", "b", "shared")
+        there = members.where((F.col("rep") != F.col(f"rep{r}")) & _fits("n", f"n{r}", least))
+        return there.groupBy(F.col("rep").alias("a"), F.col(f"rep{r}").alias("b")).agg(F.count("*").alias("shared"))
 
     tried = cut(about(0).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
     links = cut(_verified(tried, labels, least))
