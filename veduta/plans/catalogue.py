@@ -109,6 +109,17 @@ def quick_number(spark, d):
     return Engine(read(spark, d, "part")).matching({"quick": "42"}).select("p_partkey")
 
 
+@register("quick_lines", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE contains(CAST(l_orderkey AS VARCHAR), '421') OR contains(CAST(l_partkey AS VARCHAR), '421') OR contains(CAST(l_suppkey AS VARCHAR), '421') OR contains(regexp_replace(CAST(l_quantity AS VARCHAR), '\\.0$', ''), '421')")
+def quick_lines(spark, d):
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber"]
+    return Engine(read(spark, d, "lineitem").select(columns)).matching({"quick": "421"}).select("l_orderkey", "l_linenumber")
+
+
+@register("distinct_lines", "SELECT l_partkey AS value, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1")
+def distinct_lines(spark, d):
+    return lines(spark, d).distinct_values("l_partkey", {"filters": {"col": "l_quantity", "op": "gt", "value": 10}})
+
+
 @register("quick_timestamp", "SELECT event_id FROM events WHERE contains(strftime(ts, '%Y-%m-%dT%H:%M:%S'), '2024-01-15t1') OR contains(lower(strftime(ts, '%Y-%m-%dT%H:%M:%S')), '2024-01-15t1')")
 def quick_timestamp(spark, d):
     return Engine(read(spark, d, "events").select("event_id", "ts")).matching({"quick": "2024-01-15T1"}).select("event_id")
@@ -136,6 +147,7 @@ def _windows():
     one("window_deep", "lineitem", "l_shipdate, rid", "true", 3000, 3100, "l_orderkey, l_shipdate", {"sort": [{"col": "l_shipdate", "dir": "asc"}]})
     one("sort_multi", "lineitem", "l_quantity DESC, lower(l_shipmode_) , rid".replace("lower(l_shipmode_)", "lower(l_returnflag), l_returnflag DESC"), "true", 50, 150, "l_orderkey, l_quantity, l_returnflag", {"sort": [{"col": "l_quantity", "dir": "desc"}, {"col": "l_returnflag"}]})
     one("sort_text_collation", "part", "lower(p_name), p_name DESC, rid", "true", 0, 200, "p_partkey, p_name", {"sort": [{"col": "p_name"}]})
+    one("sort_text_lines", "lineitem", "lower(l_returnflag), l_returnflag DESC, l_extendedprice, rid", "true", 400, 500, "l_orderkey, l_returnflag", {"sort": [{"col": "l_returnflag"}, {"col": "l_extendedprice"}]})
     one("view_slice", "documents", "lower(lang) DESC, lang, rid", "true", 10, 60, "doc_id, lang", {"sort": [{"col": "lang", "dir": "desc"}]})
 
 
