@@ -6,8 +6,10 @@ sequence has f tokens free; a piece goes to the lowest set bit at or above its l
 makes one too many, the fullest closes.  Pieces meet a packer in the order of a hash, so that sizes are mixed and a
 rerun gives the same result; there is one packer for about ``per_packer`` documents.
 
-Null text counts as empty: the end id alone.  Repeated rows and rows with a null doc_id are packed like others.
-An empty table gives an empty result; other columns are not read.
+Null and empty text is the end id alone.  Repeated rows and rows with a null doc_id are packed like others.  Very long
+texts are tokenized whole and become many pieces, of which all but the first fill a sequence each.  Of equally full
+open sequences the one touched last takes a piece or closes.  An empty table gives an empty result.  Only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

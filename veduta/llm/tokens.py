@@ -8,8 +8,9 @@ that many of the task's documents hold (over 1 in ``common``, and ``few``) is co
 them, and never shuffled: otherwise the rows of the commonest words would meet in one task.  No ids are made; the
 tokenizer is asked only for the number of pieces of each distinct pre-token.
 
-Null text counts as empty: 0 bytes, 0 tokens.  Repeated rows and null doc_ids give a row each.  An empty table gives
-an empty result; other columns are not read.
+Null text counts as empty: 0 bytes, 0 tokens.  Repeated rows and null doc_ids give a row each.  Very long texts are
+counted whole, and runs without a pre-token's end by the tokenizer itself.  There are no ties to break.  An empty table
+gives an empty result.  Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
