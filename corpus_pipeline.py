@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the shared
 folder and reads it again as the next stage's docs.  All stages but the last return the columns of ``documents``.
 Language identification and packing are learned or tokenized in Python, so no SQL states the result.
+
+Null and empty texts have no language and go in the first stage.  Repeated rows go in the second; of equal texts the
+largest doc_id stays, of near copies the smallest, of equal ones one.  Very long texts pass whole, but the mixture may cut
+them.  Columns of any name stay as far as the mixture.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
