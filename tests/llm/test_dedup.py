@@ -133,6 +133,11 @@ def test_substring_on_documents(spark):
     assert got == sorted(brute.repeats(rows))
 
 
+def test_substring_sql(spark):
+    got, want = compare(substring.op7_substring(spark, SF), connect(SF), substring.ORACLE)
+    assert got == want
+
+
 def test_substring_small_sketch_loses_nothing(spark):
     rows = rows_of("documents", "doc_id", "text")
     docs = brute.documents(spark, rows)

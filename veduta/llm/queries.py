@@ -16,4 +16,4 @@ QUERIES = {
     "op9_tokens": tokens.op9_tokens,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op6_exact": exact.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES = {"op6_exact": exact.ORACLE, "op7_substring": substring.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -341,3 +341,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, inner: int = INNER, m
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+#: The same from the definition, every window spelt out.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS q, len(w) AS n FROM d),
+windows AS (SELECT doc_id, q, n, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY q ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS g FROM each),
+whole AS (SELECT doc_id, q, g FROM windows WHERE q + 49 <= n),
+firsts AS (SELECT g, min(doc_id) AS first FROM whole GROUP BY g),
+starts AS (SELECT w.doc_id, w.q, CAST(f.first < w.doc_id AS INT) AS again FROM whole w JOIN firsts f USING (g)),
+covered AS (SELECT e.doc_id, e.q, e.word, max(coalesce(again, 0)) OVER (PARTITION BY e.doc_id ORDER BY e.q ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM each e LEFT JOIN starts s ON s.doc_id = e.doc_id AND s.q = e.q),
+kept AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY q) FILTER (gone = 0) AS t FROM covered GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
