@@ -65,6 +65,14 @@ def test_counts_are_remembered_and_forgotten(small):
     assert small.count(q) > 0
 
 
+def test_persisted_rows_are_let_go(spark):
+    e = Engine(spark.range(50).repartition(3).groupBy("id").count())
+    assert e.positions().count() == 50 and e.df.held.is_cached
+    held = e.df.held
+    e.invalidate()
+    assert not held.is_cached and e.positions().count() == 50
+
+
 def test_unknown_names(small):
     with pytest.raises(KeyError):
         small.matching({"filters": {"col": "no", "op": "eq", "value": 1}})

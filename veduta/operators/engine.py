@@ -78,7 +78,8 @@ class Engine:
         self.version += 1
         self._counts.clear()
         if "df" in self.__dict__:
-            self.df.unpersist()
+            if held := self.df.__dict__.get("held"):
+                held.unpersist()
             del self.df
 
     def window(self, q: dict | None = None) -> DataFrame:

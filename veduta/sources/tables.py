@@ -79,16 +79,19 @@ def with_row_id(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
         placed = df.withColumns({"__at": meta["row_index"], "__of": key})
         both = placed.join(F.broadcast(starts) if len(files) <= MOST_FILES else starts, F.col("__of") == F.col("__file"))
         return both.select(*map(plain, df.columns), (F.col("__start") + F.col("__at")).alias(ROW))
+    held = None
     if order_by:
-        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).persist()
+        df = held = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).persist()
     elif any(x.getClass().getSimpleName() not in _NARROW for x in nodes):
-        df = df.persist()
+        df = held = df.persist()
     marked = df.withColumn("__at", F.monotonically_increasing_id())
     part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = marked.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    return marked.join(F.broadcast(starts), part == F.col("__part")).select(*map(plain, df.columns), (F.col("__start") + within).alias(ROW))
+    out = marked.join(F.broadcast(starts), part == F.col("__part")).select(*map(plain, df.columns), (F.col("__start") + within).alias(ROW))
+    out.held = held  # what to let go of when the numbered table is no longer wanted
+    return out
 
 
 def cleaned(v, whole: bool = False):
