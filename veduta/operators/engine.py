@@ -18,7 +18,7 @@ from pyspark.sql.types import BooleanType, IntegralType, NumericType
 from veduta.functions.columns import Schema, epoch_ms, kind_of, moment, plain
 from veduta.operators import facets
 from veduta.operators.aggregates import aggregate, levels_of
-from veduta.operators.quantiles import quantiles
+from veduta.operators.quantiles import of_groups, quantiles
 from veduta.plans.ordering import keys, order
 from veduta.plans.predicates import compiled, leaf, prune_state, quick
 from veduta.sources.tables import ROW, with_row_id
@@ -118,23 +118,52 @@ class Engine:
     # aggregates
     def aggregates(self, q: dict | None, aggs: list[dict]) -> DataFrame:
         """One row; quantiles are found by rank, at once, the others when the row is asked for."""
-        rows, ready = self.matching(q, ids=False), {}
-        by_col: dict[str, list] = {}
-        for a in aggs:
-            if levels := levels_of(a["fn"]) if self.schema[a["col"]].kind != "text" else ():
-                by_col.setdefault(a["col"], []).append((a["id"], levels))
-        for c, own in by_col.items():
+        rows = self.matching(q, ids=False)
+        return rows.agg(*self._whole(rows, aggs))
+
+    def _whole(self, rows: DataFrame, aggs: list[dict]) -> list[Column]:
+        """The aggregates of all of some rows; quantiles are found at once."""
+        ready = {}
+        for c, own in self._by_rank(aggs).items():
             wanted = sorted({p for _, levels in own for p in levels})
             got = dict(zip(wanted, quantiles(rows, self.schema[c].num, wanted), strict=True))
             for name, levels in own:
                 v = [got[p] for p in levels]
                 ready[name] = None if v[0] is None else v[-1] - v[0] if len(v) > 1 else v[0]
-        made = [F.first(F.lit(ready[a["id"]]).cast("double")).alias(a["id"]) if a["id"] in ready else self._aggs([a])[0] for a in aggs]
-        return rows.agg(*made)
+        return [F.first(F.lit(ready[a["id"]]).cast("double")).alias(a["id"]) if a["id"] in ready else self._aggs([a])[0] for a in aggs]
+
+    def _by_rank(self, aggs: list[dict]) -> dict[str, list]:
+        """Column -> (id, levels) of the aggregates that are quantiles."""
+        by_col: dict[str, list] = {}
+        for a in aggs:
+            if levels := levels_of(a["fn"]) if a.get("col") and self.schema[a["col"]].kind != "text" else ():
+                by_col.setdefault(a["col"], []).append((a["id"], levels))
+        return by_col
 
     def _aggs(self, aggs: list[dict]) -> list[Column]:
         return [aggregate(self.schema[a["col"]] if a.get("col") else None, a["fn"]).alias(a["id"]) for a in aggs]
 
+    def _grouped(self, rows: DataFrame, names: list[str], more: list[Column], aggs: list[dict], rolled: bool = False) -> DataFrame:
+        """The groups by ``names`` with ``more`` and the aggregates; quantiles are found by rank, at once, if a group is large."""
+        groups, by_col = (rows.rollup if rolled else rows.groupBy)(*names), self._by_rank(aggs)
+        wanted = {c: sorted({p for _, levels in own for p in levels}) for c, own in by_col.items()}
+        found = of_groups(rows, names, [(self.schema[c].num, ps) for c, ps in wanted.items()], rolled) if by_col else None
+        if found is None:
+            return groups.agg(*more, *self._aggs(aggs))
+        values, small = found
+        ready = {}
+        for i, (c, own) in enumerate(by_col.items()):
+            for name, levels in own:
+                v = [F.col(f"__q{i}")[wanted[c].index(p)] for p in levels]
+                ready[name] = v[-1] - v[0] if len(v) > 1 else v[0]
+        depth = F.lit(len(names)) - reduce(operator.add, [F.grouping(n).cast("int") for n in names]) if rolled else F.lit(len(names))
+        made = groups.agg(*more, depth.alias("__depth"), *self._aggs([a for a in aggs if a["id"] not in ready]))
+        shown = [c for c in made.columns if c != "__depth" and c not in {a["id"] for a in aggs}]
+        values = values.withColumnsRenamed({n: f"__of_{n}" for n in names})
+        same = [F.col("__depth") == F.col("__level"), *[F.col(n).eqNullSafe(F.col(f"__of_{n}")) for n in names]]
+        both = made.join(F.broadcast(values) if small else values, reduce(operator.and_, same), "left")
+        return both.select(*shown, *[(ready[a["id"]] if a["id"] in ready else plain(a["id"])).alias(a["id"]) for a in aggs])
+
     def rollup(self, q: dict | None, by: list[str], aggs: list[dict]) -> DataFrame:
         """Every prefix level and the grand row: k0.., g0.. (1 where rolled up), level, the aggregates."""
         names = [f"k{i}" for i in range(len(by))]
@@ -142,8 +171,8 @@ class Engine:
         flags = [F.grouping(n).cast("int").alias(f"g{i}") for i, n in enumerate(names)]
         level = (F.lit(len(by)) - reduce(operator.add, [F.grouping(n).cast("int") for n in names])).alias("level") if by else None
         if not by:
-            return rows.agg(*self._aggs(aggs)).withColumn("level", F.lit(0))
-        levels = rows.rollup(*names).agg(*flags, level, *self._aggs(aggs))
+            return rows.agg(*self._whole(rows, aggs)).withColumn("level", F.lit(0))
+        levels = self._grouped(rows, names, [*flags, level], aggs, rolled=True)
         # Of no rows a rollup makes none, but the grand row is due: what the aggregates make of nothing.
         none = rows.limit(1).agg(F.count("*").alias("__n")).where("__n = 0")
         kinds = dict(levels.dtypes)
@@ -178,7 +207,7 @@ class Engine:
         early = [a for a in aggs if a["id"] in sorted_by]
         late = [a for a in aggs if a["id"] not in sorted_by]
         counted = F.count("*").alias("leafCount"), F.min(ROW).alias("__first")
-        groups = rows.groupBy(view.key.alias("key")).agg(*counted, *self._aggs(early))
+        groups = self._grouped(rows.select("*", view.key.alias("__key")), ["__key"], list(counted), early).withColumnRenamed("__key", "key")
         key_view = type(view)("key", groups.schema["key"].dataType)
         for s in q.get("sort") or []:
             down = s.get("dir") == "desc"
@@ -193,7 +222,7 @@ class Engine:
             return page
         page = F.broadcast(page) if size <= MOST_BROADCAST else page
         there = rows.withColumn("__key", view.key).join(page.select(F.col("key").alias("__of")), F.col("__key").eqNullSafe(F.col("__of")), "left_semi")
-        totals = there.groupBy("__key").agg(*self._aggs(late))
+        totals = self._grouped(there, ["__key"], [], late)
         both = page.join(totals, F.col("key").eqNullSafe(F.col("__key")))
         return both.select("key", "leafCount", *[plain(a["id"]) for a in aggs], "ord")
 
@@ -201,13 +230,15 @@ class Engine:
         """matchCount, groupCount and the grand totals under the opened path."""
         by, opened = q.get("groupBy") or [], q.get("groupValues") or []
         rows, key = self._path(q), self.schema[by[min(len(opened), len(by) - 1)]].key
-        return rows.agg(F.count("*").alias("matchCount"), (F.count_distinct(key) + F.max(F.when(key.isNull(), 1).otherwise(0))).alias("groupCount"), *self._aggs(aggs))
+        return rows.agg(F.count("*").alias("matchCount"), (F.count_distinct(key) + F.max(F.when(key.isNull(), 1).otherwise(0))).alias("groupCount"), *self._whole(rows, aggs))
 
     def chart(self, x: str, y: str, series: str | None = None, fn: str = "sum", q: dict | None = None) -> DataFrame:
         if not x or not y:
             raise ValueError("a chart needs x and y")
-        keys_ = [self.schema[x].key.alias("x")] + ([self.schema[series].key.alias("series")] if series else [])
-        return self.matching(q, ids=False).groupBy(*keys_).agg(aggregate(self.schema[y], fn).alias("y"))
+        keys_ = {"__x": self.schema[x].key} | ({"__series": self.schema[series].key} if series else {})
+        rows = self.matching(q, ids=False).select("*", *[k.alias(n) for n, k in keys_.items()])
+        made = self._grouped(rows, list(keys_), [], [{"id": "__y", "col": y, "fn": fn}])
+        return made.withColumnsRenamed({"__x": "x", "__series": "series", "__y": "y"})
 
     # facets and profile
     def facet(self, col: str, q: dict | None = None, bounds: list[dict] | None = None, buckets: int = 20, strategy: str = "equal", granularity: str | None = None) -> dict:
