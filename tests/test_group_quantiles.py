@@ -88,7 +88,7 @@ def test_no_buffer_of_a_large_group(spark):
         assert made._jdf.queryExecution().optimizedPlan().toString().count("percentile(") <= most
 
 
-@pytest.mark.parametrize("name", ["rollup_1", "rollup_2"])
+@pytest.mark.parametrize("name", ["rollup_1", "rollup_2", "rollup_3_date"])
 def test_registered_rollups_without_group_buffers(spark, monkeypatch, name):
     seen = []
 
