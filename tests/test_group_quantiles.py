@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import shutil
 import statistics
 
 import pytest
@@ -13,6 +14,7 @@ from veduta.operators.engine import Engine
 from veduta.plans import catalogue
 
 SF = "/root/testdata/sf0.01"
+LARGE = "/root/testdata/sf0.1"
 NAN, INF = float("nan"), float("inf")
 MEDIAN = [{"id": "n", "col": "x", "fn": "count"}, {"id": "m", "col": "x", "fn": "median"}, {"id": "r", "col": "y", "fn": "iqr"}, {"id": "p", "col": "x", "fn": "p99"}]
 
@@ -99,3 +101,35 @@ def test_registered_rollups_without_group_buffers(spark, monkeypatch, name):
     monkeypatch.setattr(engine, "of_groups", searched)
     got, same = compare(catalogue.QUERIES[name](spark, SF), connect(SF), catalogue.ORACLES[name])
     assert got == same and len(seen) == 1 and seen[0] is not None
+
+
+def most_read(spark, run):
+    """What ``run`` gives, and the most shuffle bytes one of its tasks read."""
+    sc = spark.sparkContext._jsc.sc()
+    store = sc.statusStore()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        every = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+        return {(s.stageId(), s.attemptId()): s for s in map(every.apply, range(every.size()))}
+
+    old, got, most = stages(), run(), 0
+    new = [(k, s.numTasks()) for k, s in stages().items() if k not in old and s.shuffleReadBytes()]
+    for k, n in new:
+        tasks = store.taskList(*k, n)
+        reads = [t.taskMetrics().get().shuffleReadMetrics() for t in map(tasks.apply, range(tasks.size())) if t.taskMetrics().isDefined()]
+        most = max([most, *(r.localBytesRead() + r.remoteBytesRead() for r in reads)])
+    assert new
+    return got, most
+
+
+@pytest.mark.parametrize("name", ["rollup_2"])
+def test_no_task_reads_the_values_of_a_large_group(spark, tmp_path, name):
+    (tmp_path / "lineitem.parquet").mkdir()
+    for i in range(4):
+        shutil.copy(f"{LARGE}/lineitem.parquet", tmp_path / "lineitem.parquet" / f"{i}.parquet")
+    con = connect(SF)
+    con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    (got, same), most = most_read(spark, lambda: compare(catalogue.QUERIES[name](spark, str(tmp_path)), con, catalogue.ORACLES[name]))
+    # Of buffers that hold the values a task reads 21 MB or more, 5 from each file.
+    assert got == same and most < 4e6
