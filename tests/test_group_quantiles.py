@@ -123,7 +123,7 @@ def most_read(spark, run):
     return got, most
 
 
-@pytest.mark.parametrize("name", ["rollup_2"])
+@pytest.mark.parametrize("name", ["rollup_2", "rollup_3_date"])
 def test_no_task_reads_the_values_of_a_large_group(spark, tmp_path, name):
     (tmp_path / "lineitem.parquet").mkdir()
     for i in range(4):
